@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmill.llm import bpe, packing
+from quadmill.llm import bpe, jaccard, line_dedup, packing, quality_rules
 from quadmill.ship import ship
 
 
@@ -35,6 +35,49 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
-ORACLES: dict[str, str] = {}
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH every AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS line FROM documents
+), held AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), runs AS (
+  SELECT doc_id, k, line, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM held
+), later AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, k) AS copy FROM runs WHERE next IS NOT NULL
+), gone AS (
+  SELECT doc_id, k FROM later WHERE copy > 1 UNION SELECT doc_id, k + 1 FROM later WHERE copy > 1
+), marked AS (
+  SELECT e.doc_id, e.place, e.line, h.k, g.k AS gone
+  FROM every e LEFT JOIN held h ON e.doc_id = h.doc_id AND e.place = h.place LEFT JOIN gone g ON g.doc_id = h.doc_id AND g.k = h.k
+), kept AS (
+  SELECT doc_id, count(k) AS n_lines, count(gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (gone IS NULL), '') AS text FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_jaccard": op10_jaccard,
+}
+
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmill.llm import bpe, jaccard, line_dedup, packing, quality_rules
+from quadmill.llm import bpe, jaccard, line_dedup, packing, quality_rules, substrings
 from quadmill.ship import ship
 
 
@@ -68,6 +68,12 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents"), window=13)
+    kept = F.when(F.col("kept").isNull(), F.col("words_sha256")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
+    return done.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -77,6 +83,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_substrings": op9_substrings,
     "op10_jaccard": op10_jaccard,
 }
 

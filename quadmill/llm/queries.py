@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmill.llm import bpe, jaccard, line_dedup, packing, quality_rules, substrings
+from quadmill.llm import bpe, classifier, jaccard, language, line_dedup, packing, quality_rules, substrings
 from quadmill.ship import ship
 
 
@@ -35,12 +35,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc(column: str):
+    """crc32 of a column's text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc("doc_id") % 5 != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = classifier.score(docs, classifier.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(crc("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(crc("doc_id") % 4 != 2))
+    labelled = language.label(docs, model, spans=False)
+    return labelled.select("doc_id", F.coalesce(crc("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -81,7 +100,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language": op5_language,
     "op8_line_dedup": op8_line_dedup,
     "op9_substrings": op9_substrings,
     "op10_jaccard": op10_jaccard,

@@ -30,7 +30,13 @@ from quadmill.llm import words as W
 from quadmill.llm.shared import keep
 
 #: Entries of a worker's word cache; beyond, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[33:127] = ~_LETTER[33:127]
+_PUNCTUATION[48:58] = False
 
 _CACHES: dict[str, "WordIds"] = {}
 
@@ -47,6 +53,10 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -54,19 +64,58 @@ class WordIds:
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def add(self, new: list[bytes]) -> None:
+    def ids_of(self, new: list[str]) -> list[np.ndarray]:
+        """The ids of each part.  Parts of plain letters are encoded many to a text, as each ends with a word end."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [np.array(e.ids, np.uint32) for e in encode([x.decode() for x in new], add_special_tokens=False)]
+        plain = [i for i, x in enumerate(new) if x.isascii() and x.isalpha()] if self.ends.any() else []
+        out: list[np.ndarray] = [None] * len(new)  # type: ignore[list-item]
+        if plain:
+            groups = [" ".join([new[i] for i in plain[a : a + 1000]]) for a in range(0, len(plain), 1000)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in encode(groups, add_special_tokens=False)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain):
+                for i, x in zip(plain, np.split(ids, cuts)):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, encode([new[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    def add(self, new: list[bytes]) -> None:
+        ids = self.ids_of([x.decode() for x in new])
         lengths = np.array([len(x) for x in ids], np.int64)
         at = len(self.place)
-        self.place.update((x, at + i) for i, x in enumerate(new))
+        self.place.update(zip(new, range(at, at + len(new))))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate([self.flat, *ids])
 
+    def parts(self, column: pa.Array) -> W.Words:
+        """The words, cut before ASCII punctuation that follows an ASCII letter (a bound of the tokenizer's pattern,
+        wherever it is), and lower-cased where all ASCII.  A text near a special token is left as it is."""
+        w = W.cut(column)
+        n = len(w.buf)
+        high = np.concatenate(([0], np.cumsum(w.buf > 127)))
+        mixed = high[w.ends] > high[w.starts]
+        inside = np.zeros(n + 1, np.int8)
+        inside[w.starts[mixed]] += 1
+        inside[w.ends[mixed]] -= 1
+        low = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, w.buf, W._LOWER[w.buf])
+        data = low.tobytes()
+        if any(t in data for t in self.added):
+            return w
+        edge = np.zeros(n + 1, bool)
+        if n:
+            edge[1:-1] = _LETTER[low[:-1]] & _PUNCTUATION[low[1:]]
+        starts, ends = edge.copy(), edge
+        starts[w.starts] = True
+        ends[w.ends] = True
+        starts = np.flatnonzero(starts)
+        return W.Words(low, starts, np.flatnonzero(ends), np.searchsorted(starts, W.string_bytes(column)[1]))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n+1 offsets."""
-        w = W.cut(column)
+        w = self.parts(column)
         _, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
         data = w.buf.tobytes()
         distinct = [data[a:b] for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist())]
@@ -74,7 +123,7 @@ class WordIds:
             self.clear()
         if new := [x for x in distinct if x not in self.place]:
             self.add(new)
-        rows = np.fromiter((self.place[x] for x in distinct), np.int64, len(distinct))[which]
+        rows = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[which]
         lengths = self.lengths[rows]
         total = np.concatenate(([0], np.cumsum(lengths)))
         at = np.repeat(self.starts[rows] - total[:-1], lengths) + np.arange(total[-1])

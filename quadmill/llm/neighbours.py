@@ -193,9 +193,9 @@ def k_nearest(rows: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     plan = spark.createDataFrame([(i, int(-(-held[i] // ROWS)) or 1, int(-(-asked[i] // QUERIES)) or 1) for i in range(lists)], "list int, row_blocks int, query_blocks int")
     plan = F.broadcast(plan)  # at most LISTS rows
     left = members.select("list", "vec_id", "code", "x").join(plan, "list")
-    left = left.select("list", "vec_id", "code", "x", F.pmod(F.xxhash64("vec_id"), "row_blocks").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).cast("long").alias("qb"))
+    left = left.select("list", "vec_id", "code", "x", F.pmod(F.xxhash64("vec_id"), "row_blocks").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks").cast("long") - 1)).alias("qb"))
     right = probes.join(plan, "list")
-    right = right.select("list", "query_id", "q", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).cast("long").alias("rb"), F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"))
+    right = right.select("list", "query_id", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks").cast("long") - 1)).alias("rb"), F.pmod(F.xxhash64("query_id"), "query_blocks").alias("qb"))
 
     def meet(m: pa.Table, q: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

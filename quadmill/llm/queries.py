@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadmill.llm import bpe, classifier, jaccard, language, line_dedup, packing, quality_rules, substrings
+from quadmill.llm import bpe, classifier, jaccard, language, line_dedup, neighbours, packing, quality_rules, substrings, tool_calls
 from quadmill.ship import ship
 
 
@@ -60,6 +60,52 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", F.coalesce(crc("doc_id") % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+#: The tool of op6's calls: a user's turn asks for a reply.
+REPLY = {"reply": {"required": ["prompt", "turn"], "properties": {"prompt": "string", "turn": "integer"}}}
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn calls ``reply`` (depending on the call two turns before); the next turn's assistant text is its result."""
+    turns = table(spark, sf_dir, "conversations")
+    called = lambda back: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        called(0).alias("call_id"),
+        "turn",
+        F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(called(2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", called(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return tool_calls.link(calls, results, REPLY)
+
+
+OP6_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+deep AS (
+  SELECT conv_id, turn, 0 AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL
+  SELECT u.conv_id, u.turn, level + 1 FROM deep d JOIN u ON u.conv_id = d.conv_id AND u.turn = d.turn + 2
+)
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, 'c' || coalesce(u.conv_id, a.conv_id) || '-' || coalesce(u.turn, a.turn) AS call_id, u.turn AS turn, level,
+  CASE WHEN u.conv_id IS NULL THEN 'orphan_result'
+       WHEN u.text IS NULL THEN 'invalid_arguments'
+       WHEN u.turn >= 2 AND level = 0 THEN 'missing_dependency'
+       WHEN a.conv_id IS NULL THEN 'missing_result' ELSE 'ok' END AS status,
+  '{' || concat_ws(',',
+    CASE WHEN u.conv_id IS NOT NULL THEN '"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '}' END,
+    '"id":"c' || coalesce(u.conv_id, a.conv_id) || '-' || coalesce(u.turn, a.turn) || '"',
+    CASE WHEN u.conv_id IS NOT NULL THEN '"name":"reply"' END,
+    '"result":' || to_json(a.text)) || '}' AS json
+FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn LEFT JOIN deep d ON d.conv_id = u.conv_id AND d.turn = u.turn
+"""
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.k_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -103,9 +149,11 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
+    "op6_tool_calls": op6_tool_calls,
+    "op7_neighbours": op7_neighbours,
     "op8_line_dedup": op8_line_dedup,
     "op9_substrings": op9_substrings,
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_tool_calls": OP6_SQL, "op8_line_dedup": OP8_SQL}

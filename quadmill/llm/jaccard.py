@@ -109,6 +109,56 @@ def signatures(shingle: int, percent: int, heavy: int):
     return emit
 
 
+#: Members of a group that are compared with each other in one task; a larger group is dealt over pairs of blocks.
+BLOCK = 2048
+
+
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(rows of x, rows of y): the most elements two sets can share, by their counts in equal ranges."""
+    out = np.empty((len(x), len(y)), np.int64)
+    for i in range(len(x)):
+        out[i] = np.minimum(x[i], y).sum(1)
+    return out
+
+
+def _across(percent: int):
+    """Of rows (key, side, value, component, n, bins): the pairs of a key in different components, one of each side, that may link."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, value, part, n = (group.column(c).to_numpy() for c in ("key", "value", "component", "n"))
+        side = group.column("side").to_numpy()
+        bins = group.column("bins").to_pylist()
+        order = np.lexsort((value, key))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+        found: list[np.ndarray] = []
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            rows = order[a:b]
+            if len(rows) < 2:
+                continue
+            width = min(len(bins[i]) for i in rows)
+            counts = np.stack([np.frombuffer(bins[i], np.uint8).reshape(width, -1).sum(1, np.int32) for i in rows]) if width else None
+            for c in range(0, len(rows), 64):
+                u = rows[c : c + 64]
+                ok = (part[u][:, None] != part[rows]) & (value[u][:, None] < value[rows])
+                ok &= (side[u][:, None] != side[rows]) | (side[u][:, None] == 0)
+                common = np.minimum(n[u][:, None], n[rows])
+                ok &= 100 * common >= percent * np.maximum(n[u][:, None], n[rows])
+                if not ok.any():
+                    continue
+                if counts is not None:
+                    i, j = ok.any(1), ok.any(0)
+                    bound = np.zeros(ok.shape, np.int64)
+                    bound[np.ix_(i, j)] = _bound(counts[c : c + 64][i], counts[j])
+                    common = np.minimum(common, bound)
+                ok &= 100 * common >= percent * (n[u][:, None] + n[rows] - common)
+                p, q = np.nonzero(ok)
+                found.append(np.stack((value[u][p], value[rows][q]), 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which the counts by hash range do not prove that they don't link."""
 
@@ -184,30 +234,44 @@ class Join:
         sets = self.named.join(wanted, "doc_id", "left_semi").mapInArrow(run, "set_id long, x binary")
         return keep(sets.dropDuplicates(["set_id"]), "fetched")
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        of = lambda c: self.nodes.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
+        return _plausible(pairs.join(of("a"), "a").join(of("b"), "b"), self.percent)
+
     def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The links among distinct pairs (a, b)."""
-        of = lambda c: self.nodes.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
-        left = keep(_plausible(pairs.join(of("a"), "a").join(of("b"), "b"), self.percent), "pairs")
-        both = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = keep(pairs, "pairs").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return keep(_links(both, self.percent), "links")
 
+    def across(self, own: DataFrame) -> DataFrame:
+        """The pairs, of sets (key, value, component) of one key and different components, that may link."""
+        sizes = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
+        mixed = own.join(sizes.select("key", F.ceil(F.col("c") / BLOCK).cast("long").alias("blocks")), "key")
+        mixed = keep(mixed.join(self.nodes.select(F.col("set_id").alias("value"), "n", "bins"), "value"), "mixed")
+        buckets = max(1, mixed.count() // 20_000)
+        mine = F.pmod(F.xxhash64("value"), "blocks")
+        rows = mixed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select(
+            "key", "value", "component", "n", "bins",
+            F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+            # within one block every pair counts; of two blocks, pairs of different sides
+            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+            F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"),
+        )
+        return rows.groupBy("bucket", "i", "j").applyInArrow(_across(self.percent), "a long, b long").distinct()
+
     def components(self) -> DataFrame:
         """(set_id, component_id) of the sets that link with another set: the smallest doc_id."""
         members = self.members()
         pivots = members.groupBy("key").agg(F.min("value").alias("pivot"))
         stars = members.join(pivots, "key").where("value <> pivot")
         sets = self.fetched(members)
-        links = self.compared(stars.select(F.col("pivot").alias("a"), F.col("value").alias("b")).distinct(), sets)
+        pairs = stars.select(F.col("pivot").alias("a"), F.col("value").alias("b")).distinct()
+        links = self.compared(self.plausible(pairs), sets)
         found = keep(components(links), "components")
         # what is left: sets of one group, neither of them its pivot, in different components
         own = stars.join(found, F.col("value") == F.col("node"), "left").select("key", "value", F.coalesce("component", "value").alias("component"))
-        by = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = by.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("core"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        own = keep(own.join(mixed, "key").join(self.nodes.select(F.col("set_id").alias("value"), "n"), "value"), "mixed")
-        rest = own.where("component <> core").select("key", F.col("value").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"))
-        near = (F.col("cu") != F.col("component")) & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu")) & ((F.col("component") == F.col("core")) | (F.col("u") < F.col("value")))
-        pairs = rest.join(own, "key").where(near).select(F.least("u", "value").alias("a"), F.greatest("u", "value").alias("b")).distinct()
-        more = self.compared(keep(pairs, "rest"), sets)
+        more = self.compared(self.across(own), sets)
         if not more.isEmpty():
             found = components(links.union(more))
         named = self.nodes.select(F.col("set_id").alias("node"), "doc_id").join(found, "node")

@@ -20,7 +20,7 @@ from quadmill.llm.shared import keep
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Mean log ratio under which a document is rejected.
 LEAST_SCORE = -0.12
 #: Counts added to each bucket, in trusted documents' counts.
@@ -49,7 +49,8 @@ def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio) for every bucket: ``buckets`` rows, whatever the corpus.  A ratio is in units of 1 / SCALE."""
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
+    # the trusted ids grow with the corpus, so they are never broadcast, at any size
+    rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
     counts = keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
     total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)

@@ -1,25 +1,4 @@
 """Tables kept in the folder that all executors share."""
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (tests), one below /tmp/checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    base = "/tmp/checkpoints/quadmill"
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: its lineage ends there, and a lost
-    executor costs a re-read, not a recomputation.  The caller's cluster clears the folder as it does checkpoints."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quadmill.store import keep as keep
+from quadmill.store import shared_dir as shared_dir

@@ -60,7 +60,7 @@ def test_quality_rules(spark):
     rows = corpus(1)
     docs = frame(spark, rows)
     trusted = spark.createDataFrame([(d,) for d in range(0, 60, 2)] + [(None,), (4,)], "doc_id long")
-    buckets = 1 << 18
+    buckets = quality_rules.BUCKETS
     got = quality_rules.judge(docs, trusted).collect()
     assert len(got) == len(rows)
     good, raw = Counter(), Counter()

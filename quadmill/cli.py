@@ -47,7 +47,7 @@ def options(arguments: list[str]) -> Options:
             if a[7:9] not in METHODS:
                 raise ValueError(f"unknown method {a}")
             o.method = METHODS[a[7:9]]
-        elif a.startswith("-zIn"[:3]) and a[2:3] in ("I", "O"):
+        elif a[:3] in ("-zI", "-zO"):
             o.inward = a[2] == "I"
         elif a.startswith("-in") or a.startswith("-out"):
             rest = a[3:] if a.startswith("-in") else a[4:]

@@ -215,9 +215,9 @@ def quadrant_offset(spark, sf_dir):
 
 def kernel_padding(spark, sf_dir):
     """Padded region and destination of each kernel at 256 pixels and one level, and the region's clamp for each child column."""
-    rows = spark.createDataFrame(grid.padding(), "method string, extent int, reach int")
-    at = tiles(spark, sf_dir).select((F.col("x") % 2).alias("side")).distinct().withColumn("roi_x", F.col("side") * 128)
-    df = rows.join(at.withColumn("one", F.lit(1)), F.lit(1) == F.col("one"))  # two rows by eight
+    kernels = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("extent"), F.lit(r).alias("reach")) for m, k, r in grid.padding()])
+    at = tiles(spark, sf_dir).select((F.col("x") % 2 * 128).alias("roi_x")).distinct()
+    df = at.select("roi_x", F.inline(kernels))
     return df.select("method", "extent", "reach", "roi_x", (128 + F.col("reach")).alias("roi_w"), (256 + 2 * F.col("reach")).alias("dest_w"), F.least(128 + F.col("reach"), 256 - F.col("roi_x")).cast("int").alias("copy_w"))
 
 

@@ -108,7 +108,7 @@ SELECT 4, CAST(h.x AS INT), CAST(h.y AS INT), CAST(m.r AS INT), CAST(m.g AS INT)
     "tile_catalog_parse": f"WITH {_PATHS} {_parse('osm', 'zxy')}",
     "tile_parse_legacy": f"WITH {_PATHS} {_parse('zxy', 'zxy')} UNION ALL {_parse('xyz', 'xyz')}",
     "tile_path_format_all": f"WITH {_TILES} SELECT z, x, y, '/out/' || z || '/' || x || '/' || y || '.png' AS osm, '/out/' || z || '/TileExport_' || z || '_' || x || '_' || y || '.png' AS zxy, '/out/' || z || '/griddata_' || x || '_' || y || '_' || z || '.png' AS xyz FROM tiles",
-    "tile_parse_lenient": "WITH t AS (SELECT DISTINCT o_custkey || '@' || (o_orderkey % 10) || 'x' AS text FROM orders) SELECT text, CAST(list_sum(list_transform(range(len(text)), i -> coalesce(TRY_CAST(substr(text, i + 1, 1) AS BIGINT), 0) * CAST(pow(10, len(text) - 1 - i) AS BIGINT))) % 4294967296 AS BIGINT) AS number FROM t",
+    "tile_parse_lenient": "WITH t AS (SELECT DISTINCT o_custkey || '@' || (o_orderkey % 10) || 'x' AS text FROM orders) SELECT text, CAST(list_sum(list_transform(range(len(text)), lambda i: coalesce(TRY_CAST(substr(text, i + 1, 1) AS BIGINT), 0) * CAST(pow(10, len(text) - 1 - i) AS BIGINT))) % 4294967296 AS BIGINT) AS number FROM t",
     "path_parts": f"""WITH {_PATHS}, s AS (SELECT id, osm, string_split(osm, '/') AS parts FROM paths)
 SELECT id, {", ".join(f"CAST(CASE WHEN len(parts) > {n + 1} THEN len(array_to_string(parts[1:len(parts) - {n + 1}], '/')) ELSE 0 END AS INT) AS slash{n}" for n in (0, 2, 9))},
   regexp_replace(osm, '/[^/]*$', '') AS folder, regexp_extract(osm, '\\.([^./]*)$', 1) AS extension, regexp_replace(osm, '/[^/]*$', '') || '/a.png' AS joined FROM s""",

@@ -25,7 +25,7 @@ def touched(changed: DataFrame, levels: int) -> DataFrame:
 
 def renewed(level: DataFrame, changed: DataFrame, method: str = "lanczos3") -> DataFrame:
     """The parents of changed tiles (z, x, y), made again from the tiles of their level; for use in foreachBatch."""
-    up = lambda c: F.shiftright(c, 1).alias(f"p{c}")
-    parents = changed.select("z", up("x"), up("y")).distinct()
-    members = level.select("*", up("x"), up("y")).join(parents, ["z", "px", "py"], "left_semi")
+    up = lambda c: F.shiftright(c, 1)
+    parents = changed.select(F.col("z").alias("pz"), up("x").alias("px"), up("y").alias("py")).distinct()
+    members = level.join(parents, (F.col("z") == F.col("pz")) & (up("x") == F.col("px")) & (up("y") == F.col("py")), "left_semi")
     return tiles.downsample(members.select(*level.columns), method)

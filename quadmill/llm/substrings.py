@@ -175,8 +175,16 @@ def _anchors(window: int):
     return emit
 
 
-def _keys(s: pa.RecordBatch, column: str, d: int) -> np.ndarray:
-    return np.array(s.column(column)[d].as_py() or [], np.int64).view(np.uint64)
+def _lists(s: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and n+1 offsets; null is empty."""
+    lists = s.column(column)
+    sizes = np.array(lists.value_lengths().fill_null(0), np.int64)
+    return np.asarray(lists.flatten(), np.int64).view(np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _own(s: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
+    """Which texts are the ones that the row's seq_id means (rows may repeat a doc_id with another text)."""
+    return np.asarray(s.column("seq_id"), np.int64).view(np.uint64) == ids
 
 
 def _frequent_windows(window: int):
@@ -184,11 +192,12 @@ def _frequent_windows(window: int):
         w = W.cut(s.column("text"))
         h = w.hashes()
         grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first)
+        frequent, at = _lists(s, "frequent")
         keys, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for d in range(s.num_rows):
+        for d in np.flatnonzero(_own(s, ids) & (np.diff(at) > 0)).tolist():
             a, b = w.first[d], w.first[d + 1] - window + 1
-            if b > a and ids[d] == np.uint64(s.column("seq_id")[d].as_py() & (2**64 - 1)):
-                x = grams[a:b][np.isin(low[a:b], _keys(s, "frequent", d))]
+            if b > a:
+                x = grams[a:b][np.isin(low[a:b], frequent[at[d] : at[d + 1]])]
                 keys.append(x)
                 who.append(np.full(len(x), ids[d]))
         return np.concatenate(keys), np.concatenate(who)
@@ -197,39 +206,46 @@ def _frequent_windows(window: int):
 
 
 def _segments(window: int, shards: int):
-    """Of each candidate text: shard, content (its id), words (the bytes, one space between), doc_id, seq_id, start."""
+    """Of each candidate text: shard, content (its id), words (the bytes), doc_id, seq_id, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in W.slices(batches):
             w = W.cut(s.column("text"))
             h = w.hashes()
+            n = len(h)
             grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first)
+            rare, frequent, repeated = (_lists(s, c) for c in ("rare", "frequent", "repeated"))
+            use, single = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+            for d in np.flatnonzero(_own(s, ids)).tolist():
+                x = slice(w.first[d], max(w.first[d + 1] - window + 1, w.first[d]))
+                keys = [v[at[d] : at[d + 1]] for v, at in (rare, frequent, repeated)]
+                if len(keys[0]):
+                    use[x] = np.isin(low[x], keys[0])
+                if len(keys[1]) and len(keys[2]):
+                    single[x] = np.isin(low[x], keys[1]) & np.isin(grams[x], keys[2])
+            live = use | single
+            key = np.concatenate((np.where(single[:-1], grams, low), [np.uint64(0)]))
+            doc = np.repeat(np.arange(s.num_rows), np.diff(w.first))
+            new = live.copy()
+            new[1:] &= ~live[:-1] | (key[1:] != key[:-1]) | single[1:] | single[:-1]
+            begins = w.first[:-1][np.diff(w.first) > 0]
+            new[begins] = live[begins]
+            i = np.flatnonzero(new)
+            stops = np.flatnonzero(new | ~live)
+            j = stops[np.searchsorted(stops, i, "right")] if len(i) else i
+            last = j + window - 1  # behind the last word
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h) * W._powers(W._BASE, n))))
+            content = W.mix64((total[last] - total[i]) * W._powers(W._INVERSE, n + 1)[i] + W.mix64(key[i] + (last - i).astype(np.uint64)))
             data = w.buf.tobytes()
-            out: list[list] = [[], [], [], [], [], []]
-            for d in range(s.num_rows):
-                a, b = int(w.first[d]), int(w.first[d + 1]) - window + 1
-                if b <= a or ids[d] != np.uint64(s.column("seq_id")[d].as_py() & (2**64 - 1)):
-                    continue
-                key = low[a:b].copy()
-                use = np.isin(key, _keys(s, "rare", d))
-                single = np.isin(key, _keys(s, "frequent", d)) & np.isin(grams[a:b], _keys(s, "repeated", d))
-                key[single] = grams[a:b][single]
-                new = np.concatenate(([True], key[1:] != key[:-1])) | single
-                new[1:] |= single[:-1] | (use[1:] != use[:-1])
-                edges = np.flatnonzero(new)
-                ends = np.concatenate((edges[1:], [b - a]))
-                for i, j in zip(edges.tolist(), ends.tolist()):
-                    if use[i] or single[i]:
-                        x = slice(a + i, a + j + window - 1)
-                        own = W.mix64(np.add.reduce(W.mix64(h[x] + np.arange(x.stop - x.start, dtype=np.uint64) * _PLACE), keepdims=True) + key[i : i + 1])
-                        out[0].append(int(key[i]) % shards)
-                        out[1].append(int(own.view(np.int64)[0]))
-                        out[2].append(b" ".join(data[p:q] for p, q in zip(w.starts[x].tolist(), w.ends[x].tolist())))
-                        out[3].append(s.column("doc_id")[d].as_py())
-                        out[4].append(s.column("seq_id")[d].as_py())
-                        out[5].append(i)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["shard", "content", "words", "doc_id", "seq_id", "start"])
+            words = [data[a:b] for a, b in zip(w.starts[i].tolist(), w.ends[last - 1].tolist())]
+            where = pa.array(doc[i])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((key[i] % np.uint64(shards)).astype(np.int64)), pa.array(content.view(np.int64)), pa.array(words, pa.binary()),
+                    s.column("doc_id").take(where), s.column("seq_id").take(where), pa.array(i - w.first[doc[i]]),
+                ],
+                ["shard", "content", "words", "doc_id", "seq_id", "start"],
+            )
 
     return run
 

@@ -102,4 +102,5 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE,
     df = df.withColumn("text_hash", F.xxhash64("text"))
     df = df.join(found, df["doc_id"].eqNullSafe(found["_id"]) & (df["text_hash"] == found["text_hash"]), "left").drop(found["text_hash"]).drop("text_hash", "_id")
     df = df.withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least_score))
+    # one condition on both sides of the join: a filter on it is not pushed into the counts, where it would repeat them
+    return df.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("score") >= least_score))

@@ -13,6 +13,7 @@ from quadmill.operators import grid, paths
 from quadmill.operators import pixels as P
 from quadmill.plans import tiles as T
 from quadmill.plans.sql import ORACLES as ORACLES
+from quadmill.store import keep
 
 SIZE, LEVEL, SIDE = 16, 4, 256
 
@@ -65,7 +66,7 @@ def half_average_nodata(spark, sf_dir):
 
 
 def pyramid_levels(spark, sf_dir):
-    return P.pyramid(pixels(spark, sf_dir), 4).groupBy("z").agg(F.count(F.lit(1)).alias("px"), *[F.sum(c).alias(c) for c in P.CHANNELS])
+    return P.pyramid(keep(pixels(spark, sf_dir), "pixels"), 4, keep).groupBy("z").agg(F.count(F.lit(1)).alias("px"), *[F.sum(c).alias(c) for c in P.CHANNELS])
 
 
 def alpha_mask_half(spark, sf_dir):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from quadmill.operators import tiles as T
+from quadmill.store import keep
 
 SIZE = 16
 
@@ -35,7 +36,7 @@ def queries(pixels: Callable, few_colours: Callable) -> dict[str, Callable]:
         return T.encode(T.from_pixels(few_colours(spark, sf_dir), SIZE)).select("z", "x", "y", F.octet_length("png").cast("long").alias("bytes"))
 
     def tile_pyramid(spark, sf_dir):
-        levels = T.pyramid(T.from_pixels(pixels(spark, sf_dir), SIZE), 4, 0, "average")
+        levels = T.pyramid(T.from_pixels(pixels(spark, sf_dir), SIZE), 4, 0, "average", keep)
         return T.to_pixels(levels).groupBy("z").agg(F.count(F.lit(1)).alias("px"), *[F.sum(c).alias(c) for c in "rgba"])
 
     one = [tile_half_average, tile_lanczos_half, tile_statistics, tile_png_round_trip, tile_png_sizes, tile_pyramid]

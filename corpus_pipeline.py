@@ -14,9 +14,6 @@ from quadmill.llm.queries import tokenizer_path
 from quadmill.llm.shared import keep
 from quadmill.ship import ship
 
-#: A character of a word.
-_WORD = r"[^\x20\x09-\x0D]"
-
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with n_chars as the texts now have, and the given columns."""
@@ -33,8 +30,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (operator 8): later copies of repeated runs of lines go."""
-    done = line_dedup.dedup(docs)
-    return _recounted(done.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD)), docs.columns)
+    # a filter is not pushed below a column of ids, so the lines are cut once and not again for the filter
+    done = line_dedup.dedup(docs).withColumn("_row", F.monotonically_increasing_id())
+    left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
+    return _recounted(done.where(left & (F.col("_row") >= 0)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

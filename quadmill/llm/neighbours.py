@@ -3,7 +3,9 @@
 Centroids and codebooks are fitted on a bounded sample (SAMPLE vectors, by a hash of vec_id); every vector is indexed:
 its list is that of its nearest centroid, its code the nearest codewords of its residual's parts.  A query probes
 its nearest lists.  In each, *asymmetric* distance tables (query residual to codewords) rank all members by table
-look-ups, and the best SHORT are reranked by exact distance on the original vectors.
+look-ups.  The best SHORT are reranked by exact distance on the original vectors, and then every other member whose
+asymmetric distance, less the error of its own code, may still reach the k-th of these: by the triangle inequality no
+member of a probed list that belongs to the k nearest is left out, however many share one code.
 
 Lists and the queries that probe them meet in blocks of bounded size: a list with very many members is dealt over row
 blocks, its queries over query blocks, so a frequent vector fills many tasks, not one.
@@ -35,7 +37,7 @@ WANTED = 0.97
 TUNING, TUNING_K = 400, 10
 #: Parts of a residual, and codewords of each.
 PARTS, WORDS = 16, 256
-#: Members reranked exactly in each list and block, and the fewest candidates that a query's lists hold.
+#: Members reranked first in each list and block, which bound the rest, and the fewest candidates that a query's lists hold.
 SHORT, LEAST_CANDIDATES = 96, 512
 ROWS, QUERIES = 8192, 1024
 
@@ -118,17 +120,30 @@ def probes_needed(index: Index, x: np.ndarray) -> int:
 
 
 def search(index: Index, at: int, codes: np.ndarray, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, its nearest members' ids, distances) in one block of list ``at``; ids must ascend."""
+    """(query, its k nearest members' ids, distances) in one block of list ``at``, exactly; ids must ascend."""
     rest = index.split(queries - index.centroids[at])
+    parts = np.arange(len(index.codebooks))
+    # how far each member is from what its code stands for
+    error = np.sqrt(((index.split(vectors - index.centroids[at]) - index.codebooks[parts, codes]) ** 2).sum((1, 2)))
+    size = np.sqrt((vectors * vectors).sum(1))
     for q in range(len(queries)):
         tables = ((rest[q][:, None, :] - index.codebooks) ** 2).sum(2)
-        near = tables[np.arange(tables.shape[0]), codes].sum(1)
+        near = tables[parts, codes].sum(1)
         near[ids == query_ids[q]] = np.inf
         short = best(near, max(SHORT, k))
         short = short[np.isfinite(near[short])]
         exact = np.sqrt(((vectors[short] - queries[q]) ** 2).sum(1))
-        top = short_order = np.lexsort((ids[short], exact))[:k]
-        yield q, ids[short[top]], exact[short_order]
+        if len(short) >= k and len(short) < len(ids):
+            bound = np.partition(exact, k - 1)[k - 1]
+            # more than floating-point sums can be off
+            slack = 1e-9 * (size + np.sqrt((queries[q] ** 2).sum()))
+            may = np.isfinite(near) & (np.sqrt(near) - error - slack <= bound)
+            may[short] = False
+            more = np.flatnonzero(may)
+            short = np.concatenate((short, more))
+            exact = np.concatenate((exact, np.sqrt(((vectors[more] - queries[q]) ** 2).sum(1))))
+        top = np.lexsort((ids[short], exact))[:k]
+        yield q, ids[short[top]], exact[top]
 
 
 def usable(vector: Column, dim: int) -> Column:

@@ -123,6 +123,39 @@ def test_neighbours(spark):
     assert neighbours.k_nearest(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_in_a_large_group_of_near_copies(spark):
+    """Near copies share a code, so that their asymmetric distances are one tie."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x[rng.permutation(6000)[:900]] = x[0] + 1e-3 * rng.normal(size=(900, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    queries = [i for i in range(6000) if np.abs(x[i] - x[0]).max() < 0.01][:40]
+    got = {}
+    for r in neighbours.k_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(queries)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(queries)) >= 0.95
+
+
+def test_search_of_a_block_is_exact():
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=(700, 16)), np.ones(16) + 1e-4 * rng.normal(size=(800, 16))))
+    index = neighbours.train(x[:700], 1)  # so that the copies have one code
+    at, codes = index.encode(x)
+    ids = np.arange(len(x))
+    for q, near, score in neighbours.search(index, 0, codes, x, ids, x[::50], ids[::50], 10):
+        d = np.sqrt(((x - x[50 * q]) ** 2).sum(1))
+        d[50 * q] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        assert near.tolist() == want.tolist() and np.allclose(score, d[want])
+
+
 @pytest.mark.parametrize("n", [1, 5, 40])
 def test_best(n):
     d = np.array([3, 1, 2, 1, 1, 5] * 7, float)[:40]

@@ -1,8 +1,8 @@
 """Quality rules: counts of words, symbols and repetition, and a hashed n-gram log-likelihood ratio.
 
 All DataFrame functions.  A document's score is the mean, over its hashed word n-grams, of
-log P(n-gram | trusted documents) - log P(n-gram | all documents), both multinomials over a fixed number of buckets,
-smoothed alike and counted over the whole corpus.  A document whose score is under a fixed threshold, or that
+log P(n-gram | trusted documents) - log P(n-gram | all documents), both multinomials over buckets whose number grows
+with the n-grams of the corpus, smoothed alike and counted over the whole corpus.  A document whose score is under a fixed threshold, or that
 fails the counts, is not kept; there is no sampling and no chance in it.
 
 Odd cases: a null or empty text has no words, fails the counts and is not kept; a null doc_id is kept as null and is
@@ -20,7 +20,10 @@ from quadmill.llm.shared import keep
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-BUCKETS = 1 << 17
+#: The fewest buckets, and the most n-grams of the corpus for each bucket: with more n-grams there are more buckets.
+BUCKETS, LOAD = 1 << 18, 32
+#: The most buckets whose ratios are broadcast; others are shuffled with the n-grams.
+BROADCAST = 1 << 18
 #: Mean log ratio under which a document is rejected.
 LEAST_SCORE = -0.12
 #: Counts added to each bucket, in trusted documents' counts.
@@ -34,6 +37,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """The least power of two that is at least BUCKETS and leaves at most LOAD n-grams a bucket (2^30 at most, as buckets are ints)."""
+    n = docs.agg(F.sum(2 * F.size(words(F.col("text"))).cast("long"))).first()[0] or 0
+    return min(max(BUCKETS, 1 << max(-(-n // LOAD) - 1, 0).bit_length()), 1 << 30)
+
+
 def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The keys and the bucket of each word and each pair of words (the last word's pair is with the end).
 
@@ -47,25 +56,33 @@ def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, ratio) for every bucket: ``buckets`` rows, whatever the corpus.  A ratio is in units of 1 / SCALE."""
+    """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do.  A ratio is in units of 1 / SCALE."""
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
     # the trusted ids grow with the corpus, so they are never broadcast, at any size
     rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
     counts = keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
     total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
     share = total["good"] / max(total["raw"], 1)
     ratio = F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO))
-    return keep(every.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio")), "ratios")
+    return keep(counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw"), "ratios")
 
 
-def scores(docs: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def scores(docs: DataFrame, table: DataFrame, buckets: int = BUCKETS, broadcast: int = BROADCAST) -> DataFrame:
     """(doc_id, text_hash, score): the mean ratio of each text's n-grams; texts without words are left out."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    # the table's size is fixed by the number of buckets
-    rows = grams(rows, ["doc_id", "text_hash"], buckets).join(F.broadcast(table), "bucket")
-    return rows.groupBy("doc_id", "text_hash").agg((F.sum("ratio") / (F.count(F.lit(1)) * float(SCALE))).alias("score"))
+    rows = grams(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"], buckets)
+    found = [F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("n")]
+    if buckets <= broadcast:
+        each = rows.join(F.broadcast(table.select("bucket", "ratio")), "bucket").groupBy("doc_id", "text_hash").agg(*found)
+    else:
+        # at most ``broadcast`` buckets hold so many n-grams; of the others none is frequent enough to skew a join
+        total = table.agg(F.coalesce(F.sum("raw"), F.lit(0))).first()[0]
+        frequent = F.col("raw") * broadcast >= total
+        few = F.broadcast(table.where(frequent).select("bucket", "ratio"))
+        rest = rows.join(few, "bucket", "left_anti").join(table.where(~frequent).select("bucket", "ratio").hint("merge"), "bucket")
+        parts = [x.groupBy("doc_id", "text_hash").agg(*found) for x in (rows.join(few, "bucket"), rest)]
+        each = parts[0].unionByName(parts[1]).groupBy("doc_id", "text_hash").agg(F.sum("ratio").alias("ratio"), F.sum("n").alias("n"))
+    return each.select("doc_id", "text_hash", (F.col("ratio") / (F.col("n") * float(SCALE))).alias("score"))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -93,8 +110,9 @@ def counts(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_h", "_p")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE, buckets: int = BUCKETS) -> DataFrame:
-    """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept."""
+def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE, buckets: int | None = None) -> DataFrame:
+    """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``buckets_for`` says how many."""
+    buckets = buckets or buckets_for(docs)
     table = ratios(docs, trusted, buckets)
     found = scores(docs, table, buckets).withColumnRenamed("doc_id", "_id")
     df = counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "w", "text_hash")).drop("w")

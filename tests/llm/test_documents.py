@@ -91,6 +91,26 @@ def test_quality_rules(spark):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, round(r.score, 5), r.kept) for r in got) == expected
 
 
+def test_buckets_grow_with_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    assert quality_rules.BUCKETS >= 1 << 18
+    docs = frame(spark, corpus(1))
+    assert quality_rules.buckets_for(docs) == quality_rules.buckets_for(docs.limit(0)) == quality_rules.BUCKETS
+    words = quality_rules.BUCKETS * quality_rules.LOAD // 2
+    one = spark.range(1).select("id", F.repeat(F.lit("a "), words).alias("text"))
+    assert quality_rules.buckets_for(one) == quality_rules.BUCKETS
+    assert quality_rules.buckets_for(one.withColumn("text", F.concat("text", F.lit("b")))) == 2 * quality_rules.BUCKETS
+
+
+def test_scores_with_a_shuffled_table(spark):
+    docs = frame(spark, corpus(1)).where("doc_id IS NOT NULL")
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id").distinct()
+    table = quality_rules.ratios(docs, trusted, 1 << 12)
+    found = lambda n: sorted(tuple(r) for r in quality_rules.scores(docs, table, 1 << 12, n).collect())
+    assert found(1 << 12) == found(1 << 6) == found(1) and any(r[2] for r in found(1))
+
+
 def test_quality_rules_without_trust_or_rows(spark):
     docs = frame(spark, [(1, "word " * 5 + " ".join(map(str, range(30))), "x", 1, 1.0)])
     none = spark.createDataFrame([], "doc_id long")

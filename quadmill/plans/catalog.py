@@ -161,6 +161,37 @@ def nodata_fill_mean(spark, sf_dir):
     return P.fill_mean(pixels(spark, sf_dir).where("r % 4 = 0"), SIZE, 5)
 
 
+# Six of the queries above and below, whose SQL fixes a corner of their table, over the whole of it and so without SQL.
+
+
+def nn_enlarge_whole(spark, sf_dir):
+    return P.nearest(pixels(spark, sf_dir), 2)
+
+
+def nn_bitmask_whole(spark, sf_dir):
+    """The mask is the pixels of even red, as in ``nn_bitmask``."""
+    px = pixels(spark, sf_dir)
+    return P.masked(P.nearest(px, 1), P.nearest(px.where("r % 2 = 0"), 1)).groupBy("gy").agg(F.count(F.lit(1)).alias("px"), F.sum("gx").alias("sum_gx"), F.sum("r").alias("sum_r"))
+
+
+def bilinear_enlarge_whole(spark, sf_dir):
+    return P.bilinear(pixels(spark, sf_dir), 8, 16)
+
+
+def nodata_fill_mean_whole(spark, sf_dir):
+    """The holes are the raster's own."""
+    return P.fill_mean(pixels(spark, sf_dir), SIZE, 5)
+
+
+def children_expand_whole(spark, sf_dir):
+    return grid.children(tiles(spark, sf_dir), 2)
+
+
+def roi_for_children_whole(spark, sf_dir):
+    df = grid.children(tiles(spark, sf_dir), 2)
+    return df.select("child_z", "child_x", "child_y", grid.roi(F.col("child_x"), 2, 256).alias("roi_x"), grid.roi(F.col("child_y"), 2, 256).alias("roi_y"), F.lit(256 >> 2).alias("roi_size"))
+
+
 def tile_catalog_parse(spark, sf_dir):
     return paths.parsed(paths_of(spark, sf_dir).select(F.col("osm").alias("path")), "OSM")
 
@@ -236,6 +267,7 @@ QUERIES = {
         palette_size, palette_order, png_color_type, opaque_gray_flags, channel_pack_unpack, pixel_distance, blend_levels, nn_enlarge, nn_bitmask,
         epx_enlarge, eagle_enlarge, bilinear_enlarge, edge_extend, nodata_fill_mean, tile_catalog_parse, tile_parse_legacy, tile_path_format_all,
         tile_parse_lenient, path_parts, tile_counts, quad_clusters, children_expand, roi_for_children, quadrant_offset, kernel_padding, dir_sort, tile_latest,
+        nn_enlarge_whole, nn_bitmask_whole, bilinear_enlarge_whole, nodata_fill_mean_whole, children_expand_whole, roi_for_children_whole,
     )
 }
 QUERIES |= T.queries(pixels, few_colours)

@@ -12,7 +12,7 @@ may split where one line is very frequent.
 
 Odd cases: a null or empty text has no lines and stays; a null doc_id takes no part; lines without a word stay, and are
 not part of runs; two rows with one doc_id are one place in the order, so equal ones do not delete each other and get
-the same result; an empty table gives no rows.  Other columns are passed through.
+the same result, while other texts of that doc_id lose their own lines only; an empty table gives no rows.  Other columns are passed through.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ LEAST_LINES = 2
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, k (place among the lines with a word), place (among all lines), line (its 64-bit id)."""
+    """doc_id, text_id (a hash of the text, as rows may repeat a doc_id with another), k (place among the lines with a word), place (among all lines), line (its 64-bit id)."""
     every = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("line")))
     held = F.filter(every, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(held).alias("k", "x"))
-    return rows.select("doc_id", "k", F.col("x.place").alias("place"), F.xxhash64("x.line").alias("line"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(held).alias("k", "x"))
+    return rows.select("doc_id", "text_id", "k", F.col("x.place").alias("place"), F.xxhash64("x.line").alias("line"))
 
 
 def ranked(rows: DataFrame, key: list[str], tag: str) -> DataFrame:
@@ -43,30 +43,31 @@ def ranked(rows: DataFrame, key: list[str], tag: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The suffixes whose first ``least_lines`` lines occur at two places: doc_id, k, rank (the interval), first."""
+    """The suffixes whose first ``least_lines`` lines occur at two places: doc_id, text_id, k, rank (the interval), first."""
     suffixes = ranked(numbered_lines(docs), ["line"], "lines")
     length = 1
     while length < least_lines:
         shift = min(length, least_lines - length)
-        ahead = suffixes.select("doc_id", (F.col("k") - shift).alias("k"), F.col("rank").alias("ahead")).distinct()
-        pairs = suffixes.drop("first").join(ahead, ["doc_id", "k"])
+        ahead = suffixes.select("doc_id", "text_id", (F.col("k") - shift).alias("k"), F.col("rank").alias("ahead")).distinct()
+        pairs = suffixes.drop("first").join(ahead, ["doc_id", "text_id", "k"])
         suffixes = ranked(pairs.withColumnRenamed("rank", "own"), ["own", "ahead"], f"runs{length + shift}")
         length += shift
     return suffixes
 
 
 def deleted_lines(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """doc_id and the sorted places (among the lines with a word) of its lines in later copies of repeated runs."""
+    """doc_id, text_id and the sorted places (among the lines with a word) of its lines in later copies of repeated runs."""
     runs = repeated_runs(docs, least_lines)
     later = runs.where(F.struct("doc_id", "k") > F.col("first"))
-    gone = later.select("doc_id", F.explode(F.sequence(F.col("k"), F.col("k") + (least_lines - 1))).alias("k"))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("gone"))
+    gone = later.select("doc_id", "text_id", F.explode(F.sequence(F.col("k"), F.col("k") + (least_lines - 1))).alias("k"))
+    return gone.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("k")).alias("gone"))
 
 
 def dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     """docs with text less its deleted lines, n_lines (lines with a word) and n_removed."""
     gone = keep(deleted_lines(docs, least_lines), "gone")
-    df = docs.drop("n_lines", "n_removed", "gone", "_lines").join(gone, "doc_id", "left")
+    df = docs.drop("n_lines", "n_removed", "gone", "_lines").withColumn("_text_id", F.xxhash64("text"))
+    df = df.join(gone.withColumnRenamed("text_id", "_text_id"), ["doc_id", "_text_id"], "left").drop("_text_id")
     df = df.withColumn("_lines", F.split("text", "\n")).withColumn("_held", F.transform("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     held = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_held", i))
     df = df.withColumn("_held", F.when(F.col("text").isNotNull(), held))

@@ -266,10 +266,12 @@ def _first_documents(window: int):
 
 
 def _without(window: int):
-    """The words of each text that no marked window covers, and the maximal spans of the others."""
+    """The words of each text that its row's seq_id means that no marked window covers, and the maximal spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in W.slices(batches):
+            w = W.cut(s.column("text"))
+            s = s.filter(pa.array(_own(s, sequence_ids(w.hashes(), w.first))))
             kept, spans, removed = [], [], []
             for text, starts in zip(s.column("text").to_pylist(), s.column("starts").to_pylist()):
                 own = (text or "").encode().split()
@@ -315,8 +317,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> Da
     at = rows.drop("words", "shard").join(firsts, "content")
     at = at.withColumn("starts", F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()))
     starts = at.where(F.size("starts") > 0).groupBy("seq_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    found = texts.select("seq_id", "text", "doc_id").join(starts, "seq_id").dropDuplicates(["seq_id"])
-    found = keep(found.mapInArrow(_without(window), "seq_id long, removed long, spans array<struct<start:long,length:long>>, kept string"), "removed")
+    found = texts.select("seq_id", "text", "doc_id").join(starts, "seq_id").dropDuplicates(["seq_id", "text"])
+    found = found.mapInArrow(_without(window), "seq_id long, removed long, spans array<struct<start:long,length:long>>, kept string")
+    # texts of the same words may differ in white space
+    found = keep(found.dropDuplicates(["seq_id"]), "removed")
     df = summary.join(nodes.select("seq_id", "first_id"), "seq_id", "left").join(found, "seq_id", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     own = F.col("doc_id").isNotNull()

@@ -162,6 +162,25 @@ def test_substrings(spark, frequent):
     assert substrings.dedup(frame(spark, rows[:1]).limit(0)).count() == 0
 
 
+def ids_with_two_texts():
+    run = "first line\nsecond line"
+    many = " ".join(f"w{i}" for i in range(20))
+    return [(1, f"{run}\n{many}"), (2, "short\nthis stays\nand this"), (2, f"own\nmore\nyet more\n{run}"), (3, f"{many} a b"), (3, f"x y z {many}"), (3, "c d"), (3, "e " * 15 + many), (4, "c d")]
+
+
+def test_line_dedup_of_ids_with_two_texts(spark):
+    docs = spark.createDataFrame(ids_with_two_texts(), "doc_id long, text string")
+    got = sorted((r.text, r.n_removed) for r in line_dedup.dedup(docs).where("doc_id = 2").collect())
+    assert got == [("own\nmore\nyet more", 2), ("short\nthis stays\nand this", 0)]
+
+
+def test_substrings_of_ids_with_two_texts(spark):
+    docs = spark.createDataFrame(ids_with_two_texts(), "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs).where("doc_id = 3").collect())
+    assert [x[:2] for x in got] == [(2, 0), (22, 20), (23, 20), (35, 20)]
+    assert [x[2] for x in got[1:]] == ["a b", "x y z", " ".join("e" * 15)]
+
+
 def test_automaton():
     rng = random.Random(4)
     for _ in range(60):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,11 +20,14 @@ def ship(spark: SparkSession) -> None:
         return
     _done.add(context.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="quadmill-"), "quadmill.zip")
+    # on the driver only: Spark serves the file from there, until the driver ends
+    folder = tempfile.mkdtemp(prefix="quadmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quadmill.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for at, _, names in os.walk(root):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     z.write(full, os.path.join("quadmill", os.path.relpath(full, root)))
     context.addPyFile(path)

@@ -116,12 +116,17 @@ class WordIds:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n+1 offsets."""
         w = self.parts(column)
-        _, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        h, second = w.hashed()
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        other = np.flatnonzero(second != second[one][which])
+        if len(other):  # words of one hash are told apart by their bytes
+            which[other] = len(one) + np.arange(len(other))
+            one = np.concatenate((one, other))
         data = w.buf.tobytes()
         distinct = [data[a:b] for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist())]
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        if new := [x for x in distinct if x not in self.place]:
+        if new := [x for x in dict.fromkeys(distinct) if x not in self.place]:
             self.add(new)
         rows = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[which]
         lengths = self.lengths[rows]

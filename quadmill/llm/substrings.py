@@ -44,6 +44,8 @@ FREQUENT = 4096
 #: Segments that a shard is planned to hold.
 SHARD_SEGMENTS = 20_000
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -234,8 +236,9 @@ def _segments(window: int, shards: int):
             stops = np.flatnonzero(new | ~live)
             j = stops[np.searchsorted(stops, i, "right")] if len(i) else i
             last = j + window - 1  # behind the last word
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h) * W._powers(W._BASE, n))))
-            content = W.mix64((total[last] - total[i]) * W._powers(W._INVERSE, n + 1)[i] + W.mix64(key[i] + (last - i).astype(np.uint64)))
+            powers, inverse = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, x)))) for x in (_BASE, _INVERSE))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h) * powers[:n])))
+            content = W.mix64((total[last] - total[i]) * inverse[i] + W.mix64(key[i] + (last - i).astype(np.uint64)))
             data = w.buf.tobytes()
             words = [data[a:b] for a, b in zip(w.starts[i].tolist(), w.ends[last - 1].tolist())]
             where = pa.array(doc[i])

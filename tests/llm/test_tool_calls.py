@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 
 import duckdb
 import pytest
@@ -56,6 +57,42 @@ def test_link(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+def statuses(spark, arguments, schema):
+    calls = spark.createDataFrame([(1, f"c{i:02}", i, "f", a, []) for i, a in enumerate(arguments)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = calls.selectExpr("conv_id", "call_id", "turn", "'r' AS content")
+    return [(r.status, r.json) for r in tool_calls.link(calls, results, {"f": schema}).orderBy("call_id").collect()]
+
+
+def test_nested_schemas_and_large_numbers(spark):
+    point = {"type": "object", "required": ["x"], "properties": {"x": "integer", "unit": {"type": "string", "enum": ["mm", "m"]}}}
+    schema = {"required": ["it's"], "properties": {"it's": "integer", "path": {"type": "array", "items": point}, "any": {"type": "object", "properties": {}, "additionalProperties": True}}}
+    good = ['{"it\'s": 12345678901234567890123}', '{"it\'s": 1, "path": []}', '{"it\'s": -3, "path": [{"x": 1}, {"x": 2, "unit": "mm"}]}', '{"it\'s": 1, "any": {"q": [null]}}']
+    bad = ['{"it\'s": 1.5}', '{"it\'s": 1, "path": [{"x": 1}, {"unit": "m"}]}', '{"it\'s": 1, "path": [{"x": 1, "unit": "km"}]}', '{"it\'s": 1, "path": [{"x": 1, "z": 1}]}', '{"path": []}', '{"it\'s": null}', '{"it\'s": 1, "path": [1]}']
+    got = statuses(spark, good + bad, schema)
+    assert [x[0] for x in got] == ["ok"] * len(good) + ["invalid_arguments"] * len(bad)
+    assert '"it\'s":12345678901234567890123' in got[0][1]
+
+
+def brute_levels(deps):
+    level = {}
+    while new := {c: max([1 + level[d] for d in ds if d in deps], default=0) for c, ds in deps.items() if c not in level and all(d in level for d in ds if d in deps)}:
+        level.update(new)
+    return level
+
+
+def test_levels_of_chains_and_graphs(spark):
+    rng = random.Random(3)
+    rows = [(1, f"c{i}", i, [f"c{i - 1}"] if i else []) for i in range(5000)]
+    graph = {f"g{i}": [f"g{j}" for j in rng.sample(range(i), min(i, rng.choice((0, 1, 1, 1, 2, 3))))] for i in range(120)}
+    graph |= {"l1": ["l2"], "l2": ["l3"], "l3": ["l1"], "l4": ["l1"], "l5": ["l4", "g3"], "self": ["self"], "dup": ["g1", "g1"], "gone": ["nowhere", "g2"]}
+    rows += [(2, c, i, d) for i, (c, d) in enumerate(graph.items())]
+    calls = spark.createDataFrame([(v, c, t, "f", "{}", d) for v, c, t, d in rows], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.link(calls, calls.selectExpr("conv_id", "call_id", "turn", "'r' AS content").limit(0), {"f": {}}).collect()}
+    assert len(got) == len(rows)
+    assert all(got[1, f"c{i}"] == i for i in range(5000))
+    assert {c: got[2, c] for c in graph} == {c: brute_levels(graph).get(c) for c in graph}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf, name):
     con = duckdb.connect()

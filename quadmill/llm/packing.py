@@ -18,6 +18,7 @@ Columns of the input other than doc_id and text are not read, so no name can cla
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,9 +152,9 @@ def piece_lengths(length: int, capacity: int, classes: np.ndarray) -> list[int]:
     return out
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """The pieces of every document: doc_id, start, length (its class), ids (binary, little-endian uint32), doc_tokens;
-    part and nth say which worker cut it and which of that worker's pieces of the class it is."""
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """The pieces of every document: doc_id, start, length (its class), ids (binary, little-endian uint32; null unless
+    with_ids), ids_crc32, doc_tokens; part and nth say which worker cut it and which of that worker's pieces of the class it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, WordIds(tokenizer))
@@ -188,15 +189,20 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
             nth = np.empty(len(length), np.int64)
             nth[order] = np.arange(len(order)) - np.repeat(edges, size) + seen[length[order]]
             seen[length[order[edges]]] += size
-            offsets = pa.py_buffer(np.concatenate(([0], ends * 4)).astype(np.int32).tobytes())
-            blob = pa.Array.from_buffers(pa.binary(), len(length), [None, offsets, pa.py_buffer(stream.tobytes())])
+            data = stream.tobytes()
+            at = np.concatenate(([0], ends * 4))
+            view = memoryview(data)
+            sums = pa.array([zlib.crc32(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())
+            blob = pa.nulls(len(length), pa.binary())
+            if with_ids:
+                blob = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
-                [s.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), blob, pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "part", "nth"],
+                [s.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), blob, sums, pa.array(tokens[doc]), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)],
+                ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "part", "nth"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, part int, nth long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, nth long")
 
 
 def place_rest(left: list[tuple[int, int]], capacity: int, first_bin: int) -> list[tuple[int, int, int, int]]:
@@ -215,12 +221,12 @@ def place_rest(left: list[tuple[int, int]], capacity: int, first_bin: int) -> li
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """Every piece of every document with its ids and its place: sequence_id, and offset from 0 without gaps.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """Every piece of every document with its ids (if with_ids) and its place: sequence_id, and offset from 0 without gaps.
 
     A sequence holds at most ``capacity`` tokens."""
     spark = docs.sparkSession
-    pieces = keep(cut_pieces(docs, tokenizer, capacity, end_id).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    pieces = keep(cut_pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = keep(by_part.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))), "ahead")
@@ -241,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     at = at.join(F.broadcast(rest), ["length", "t"], "left")
     full = F.col("t") < 0
     return at.select(
-        "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
+        "doc_id", "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens",
         F.when(full, F.col("base") + F.expr("at div k")).otherwise(F.col("rest_bin")).alias("sequence_id"),
         F.when(full, F.expr("at % k") * F.col("length")).otherwise(F.col("rest_offset")).alias("offset"),
     )

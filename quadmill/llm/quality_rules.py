@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadmill.llm.shared import keep
+from quadmill.llm.shared import Scope
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -55,17 +55,19 @@ def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame
     return rows.select(*keys, F.explode(F.array(one, two)).alias("bucket"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do.  A ratio is in units of 1 / SCALE."""
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
     # the trusted ids grow with the corpus, so they are never broadcast, at any size
     rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
-    counts = keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
+    counts = scope.keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
     total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
     share = total["good"] / max(total["raw"], 1)
     ratio = F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO))
-    return keep(counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw"), "ratios")
+    out = scope.keep(counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw"), "ratios")
+    scope.drop(counts)
+    return out
 
 
 def scores(docs: DataFrame, table: DataFrame, buckets: int = BUCKETS, broadcast: int = BROADCAST) -> DataFrame:
@@ -113,8 +115,9 @@ def counts(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE, buckets: int | None = None) -> DataFrame:
     """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``buckets_for`` says how many."""
     buckets = buckets or buckets_for(docs)
-    table = ratios(docs, trusted, buckets)
-    found = scores(docs, table, buckets).withColumnRenamed("doc_id", "_id")
+    with Scope(docs.sparkSession) as scope:
+        table = ratios(docs, trusted, scope, buckets)
+        found = scope.leave(scope.keep(scores(docs, table, buckets).withColumnRenamed("doc_id", "_id"), "scores"))
     df = counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "w", "text_hash")).drop("w")
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     df = df.withColumn("text_hash", F.xxhash64("text"))

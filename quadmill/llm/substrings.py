@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quadmill.llm import words as W
 from quadmill.llm.routing import BUCKET_ROWS, shared_keys
-from quadmill.llm.shared import keep
+from quadmill.llm.shared import Scope
 
 WINDOW = 13
 #: Words of a minimizer.
@@ -46,17 +46,22 @@ SHARD_SEGMENTS = 20_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_CONTENT = np.uint64(0x2545F4914F6CDD1D)
 _PLACE = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def sequence_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit identity of each document's word sequence (0 without words)."""
+def sequence_ids(h: np.ndarray, first: np.ndarray, clashing: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit identity of each document's word sequence (0 without words).  Those of ``clashing``, which different
+    sequences share, are replaced by others."""
     n = np.diff(first)
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         inside = (np.arange(len(h)) - np.repeat(first[:-1], n)).astype(np.uint64)
         out[full] = W.mix64(np.add.reduceat(W.mix64(h + inside * _PLACE), first[:-1][full]) + n[full].astype(np.uint64))
+        if clashing is not None and (again := np.isin(out, clashing) & (n > 0)).any():
+            other = W.mix64(np.add.reduceat(W.mix64((h ^ _CONTENT) + inside * _PLACE), first[:-1][full]))
+            out[full] = np.where(again[full], other, out[full])
     return out
 
 
@@ -141,7 +146,7 @@ class Automaton:
         return lengths, labels
 
 
-def summaries(docs: DataFrame) -> DataFrame:
+def summaries(docs: DataFrame, clashing: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_words, seq_id, words_sha256 (of the words joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def summaries(docs: DataFrame) -> DataFrame:
             buf, at = W.string_bytes(s.column("text"))
             data = buf.tobytes()
             digests = [hashlib.sha256(b" ".join(data[a:b].split())).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            ids = sequence_ids(w.hashes(), w.first).view(np.int64)
+            ids = sequence_ids(w.hashes(), w.first, clashing).view(np.int64)
             yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(np.diff(w.first)), pa.array(ids), pa.array(digests)], ["doc_id", "n_words", "seq_id", "words_sha256"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, seq_id long, words_sha256 string")
@@ -162,7 +167,7 @@ def _valid(first: np.ndarray, window: int, total: int) -> np.ndarray:
     return np.arange(total) + window <= ends
 
 
-def _anchors(window: int):
+def _anchors(window: int, clashing: np.ndarray | None):
     def emit(s: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         w = W.cut(s.column("text"))
         h = w.hashes()
@@ -170,7 +175,7 @@ def _anchors(window: int):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         ok = _valid(w.first, window, len(h))
         low = minimizers(h, window)[ok]
-        who = np.repeat(sequence_ids(h, w.first), np.diff(w.first))[ok]
+        who = np.repeat(sequence_ids(h, w.first, clashing), np.diff(w.first))[ok]
         new = np.concatenate((np.ones(min(len(low), 1), bool), (low[1:] != low[:-1]) | (who[1:] != who[:-1])))
         return low[new], who[new]
 
@@ -189,11 +194,11 @@ def _own(s: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
     return np.asarray(s.column("seq_id"), np.int64).view(np.uint64) == ids
 
 
-def _frequent_windows(window: int):
+def _frequent_windows(window: int, clashing: np.ndarray | None):
     def emit(s: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         w = W.cut(s.column("text"))
         h = w.hashes()
-        grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first)
+        grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first, clashing)
         frequent, at = _lists(s, "frequent")
         keys, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for d in np.flatnonzero(_own(s, ids) & (np.diff(at) > 0)).tolist():
@@ -207,15 +212,15 @@ def _frequent_windows(window: int):
     return emit
 
 
-def _segments(window: int, shards: int):
-    """Of each candidate text: shard, content (its id), words (the bytes), doc_id, seq_id, start."""
+def _segments(window: int, shards: int, clashing: np.ndarray | None):
+    """Of each candidate text: shard, content and content2 (its id), words (the bytes), doc_id, seq_id, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in W.slices(batches):
             w = W.cut(s.column("text"))
             h = w.hashes()
             n = len(h)
-            grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first)
+            grams, low, ids = W.ngrams(h, window), minimizers(h, window), sequence_ids(h, w.first, clashing)
             rare, frequent, repeated = (_lists(s, c) for c in ("rare", "frequent", "repeated"))
             use, single = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
             for d in np.flatnonzero(_own(s, ids)).tolist():
@@ -237,17 +242,20 @@ def _segments(window: int, shards: int):
             j = stops[np.searchsorted(stops, i, "right")] if len(i) else i
             last = j + window - 1  # behind the last word
             powers, inverse = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, x)))) for x in (_BASE, _INVERSE))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h) * powers[:n])))
-            content = W.mix64((total[last] - total[i]) * inverse[i] + W.mix64(key[i] + (last - i).astype(np.uint64)))
+            contents = []
+            for tag in (np.uint64(0), _CONTENT):
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h ^ tag) * powers[:n])))
+                contents.append(W.mix64((total[last] - total[i]) * inverse[i] + W.mix64(key[i] + (last - i).astype(np.uint64))))
+            content, other = contents
             data = w.buf.tobytes()
             words = [data[a:b] for a, b in zip(w.starts[i].tolist(), w.ends[last - 1].tolist())]
             where = pa.array(doc[i])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((key[i] % np.uint64(shards)).astype(np.int64)), pa.array(content.view(np.int64)), pa.array(words, pa.binary()),
+                    pa.array((key[i] % np.uint64(shards)).astype(np.int64)), pa.array(content.view(np.int64)), pa.array(other.view(np.int64)), pa.array(words, pa.binary()),
                     s.column("doc_id").take(where), s.column("seq_id").take(where), pa.array(i - w.first[doc[i]]),
                 ],
-                ["shard", "content", "words", "doc_id", "seq_id", "start"],
+                ["shard", "content", "content2", "words", "doc_id", "seq_id", "start"],
             )
 
     return run
@@ -263,18 +271,18 @@ def _first_documents(window: int):
         for string, label in zip(strings, group.column("doc_id").to_pylist()):
             automaton.add(string, label)
         firsts = [automaton.statistics(string, window)[1][window - 1 :] for string in strings]
-        return pa.table({"content": group.column("content"), "firsts": pa.array(firsts, pa.list_(pa.int64()))})
+        return pa.table({"content": group.column("content"), "content2": group.column("content2"), "firsts": pa.array(firsts, pa.list_(pa.int64()))})
 
     return run
 
 
-def _without(window: int):
+def _without(window: int, clashing: np.ndarray | None):
     """The words of each text that its row's seq_id means that no marked window covers, and the maximal spans of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in W.slices(batches):
             w = W.cut(s.column("text"))
-            s = s.filter(pa.array(_own(s, sequence_ids(w.hashes(), w.first))))
+            s = s.filter(pa.array(_own(s, sequence_ids(w.hashes(), w.first, clashing))))
             kept, spans, removed = [], [], []
             for text, starts in zip(s.column("text").to_pylist(), s.column("starts").to_pylist()):
                 own = (text or "").encode().split()
@@ -297,31 +305,45 @@ def _without(window: int):
 def dedup(docs: DataFrame, window: int = WINDOW, frequent: int = FREQUENT) -> DataFrame:
     """Of every row: doc_id, n_words, n_removed, spans (of removed words), kept (the other words, joined by one space;
     null if nothing is removed) and words_sha256 (of all words, joined so)."""
+    with Scope(docs.sparkSession) as scope:
+        return scope.leave(scope.keep(_deduplicated(docs, window, frequent, scope), "documents"))
+
+
+def _deduplicated(docs: DataFrame, window: int, frequent: int, scope: Scope) -> DataFrame:
+    keep = scope.keep
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     summary = keep(summaries(docs), "sequences")
+    both = summary.where("n_words > 0").groupBy("seq_id").agg(F.min("words_sha256").alias("low"), F.max("words_sha256").alias("high"))
+    # different texts of one 64-bit hash: none in corpora of less than billions of documents, a few beyond
+    if found := [r["seq_id"] for r in both.where("low <> high").select("seq_id").collect()]:
+        scope.drop(summary)
+        clashing = np.array(found, np.int64).view(np.uint64)
+        summary = keep(summaries(docs, clashing), "sequences")
+    else:
+        clashing = None
     named = docs.where(F.col("doc_id").isNotNull())
     long = summary.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     nodes = keep(long.groupBy("seq_id").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n")), "texts")
     # a minimizer starts every (window - anchor + 2) / 2 words on average
     words = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = keep(shared_keys(named, _anchors(window), max(1, 2 * words // (window - ANCHOR + 2) // BUCKET_ROWS)), "anchors")
+    held = keep(shared_keys(named, _anchors(window, clashing), max(1, 2 * words // (window - ANCHOR + 2) // BUCKET_ROWS)), "anchors")
     often = keep(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > frequent).select("key", F.lit(True).alias("often")), "often")
     marked = held.join(often, "key", "left").groupBy(F.col("value").alias("seq_id"))
     marked = marked.agg(F.collect_list(F.when(F.col("often").isNull(), F.col("key"))).alias("rare"), F.collect_list(F.when(F.col("often"), F.col("key"))).alias("frequent"))
     wanted = marked.join(nodes.select("seq_id", F.col("first_id").alias("doc_id")), "seq_id")
     texts = keep(named.join(wanted, "doc_id"), "candidates")
-    again = shared_keys(texts, _frequent_windows(window), 64) if not often.isEmpty() else held.limit(0)
+    again = shared_keys(texts, _frequent_windows(window, clashing), 64) if not often.isEmpty() else held.limit(0)
     again = again.groupBy(F.col("value").alias("seq_id")).agg(F.collect_list("key").alias("repeated"))
     shards = max(1, held.count() // SHARD_SEGMENTS)
-    rows = texts.join(again, "seq_id", "left").mapInArrow(_segments(window, shards), "shard long, content long, words binary, doc_id long, seq_id long, start long")
+    rows = texts.join(again, "seq_id", "left").mapInArrow(_segments(window, shards, clashing), "shard long, content long, content2 long, words binary, doc_id long, seq_id long, start long")
     rows = keep(rows, "segments")
-    distinct = rows.groupBy("shard", "content").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    firsts = keep(distinct.groupBy("shard").applyInArrow(_first_documents(window), "content long, firsts array<long>"), "firsts")
-    at = rows.drop("words", "shard").join(firsts, "content")
+    distinct = rows.groupBy("shard", "content", "content2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+    firsts = keep(distinct.groupBy("shard").applyInArrow(_first_documents(window), "content long, content2 long, firsts array<long>"), "firsts")
+    at = rows.drop("words", "shard").join(firsts, ["content", "content2"])
     at = at.withColumn("starts", F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()))
     starts = at.where(F.size("starts") > 0).groupBy("seq_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     found = texts.select("seq_id", "text", "doc_id").join(starts, "seq_id").dropDuplicates(["seq_id", "text"])
-    found = found.mapInArrow(_without(window), "seq_id long, removed long, spans array<struct<start:long,length:long>>, kept string")
+    found = found.mapInArrow(_without(window, clashing), "seq_id long, removed long, spans array<struct<start:long,length:long>>, kept string")
     # texts of the same words may differ in white space
     found = keep(found.dropDuplicates(["seq_id"]), "removed")
     df = summary.join(nodes.select("seq_id", "first_id"), "seq_id", "left").join(found, "seq_id", "left")

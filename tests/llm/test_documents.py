@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quadmill.llm import jaccard, line_dedup, quality_rules, substrings
+from quadmill.llm.shared import Scope
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \n\t", "one", "one", "a b c", "a b c d e f g h i j k l m n o p", "x " * 3000, "é ñ\x0bü\x0cß 漢字\xa0z", "l1 a\nl2 b\n\nl1 a\nl2 b\nl3", "A B C D E", "a b c d e"]
@@ -106,7 +107,7 @@ def test_buckets_grow_with_the_corpus(spark):
 def test_scores_with_a_shuffled_table(spark):
     docs = frame(spark, corpus(1)).where("doc_id IS NOT NULL")
     trusted = docs.where("doc_id % 2 = 0").select("doc_id").distinct()
-    table = quality_rules.ratios(docs, trusted, 1 << 12)
+    table = quality_rules.ratios(docs, trusted, Scope(spark), 1 << 12)
     found = lambda n: sorted(tuple(r) for r in quality_rules.scores(docs, table, 1 << 12, n).collect())
     assert found(1 << 12) == found(1 << 6) == found(1) and any(r[2] for r in found(1))
 
@@ -174,6 +175,59 @@ def test_line_dedup_of_ids_with_two_texts(spark):
     assert got == [("own\nmore\nyet more", 2), ("short\nthis stays\nand this", 0)]
 
 
+def test_maximal_runs_of_lines(spark):
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\n\nd\ny\na\nb"), (3, "q\nb\nc\nd\ne\nb\nc"), (3, "z\nx\nb"), (None, "a\nb"), (4, None)]
+    docs = spark.createDataFrame([(*r, "p", "q") for r in rows], "doc_id long, text string, _held string, _places string")
+    with Scope(spark) as scope:
+        runs = line_dedup.repeated_runs(docs, 2, scope)
+        got = sorted((r.doc_id, r.k, r.length, r.first_doc_id, r.first_k) for r in runs.collect())
+    assert got == [(2, 1, 3, 1, 1), (2, 5, 2, 1, 0), (3, 1, 2, 2, 0), (3, 1, 4, 1, 1), (3, 5, 2, 1, 1)]
+    done = line_dedup.dedup(docs)
+    assert done.columns == ["doc_id", "text", "_held", "_places", "n_lines", "n_removed"]
+    texts = {(r.doc_id, r.text, r._held, r._places) for r in done.collect()}
+    assert texts == {(1, rows[0][1], "p", "q"), (2, "x\n\ny", "p", "q"), (3, "q", "p", "q"), (3, "z", "p", "q"), (None, "a\nb", "p", "q"), (4, None, "p", "q")}
+
+
+def test_equal_text_has_a_place_of_its_own_in_no_other_row(spark):
+    rows = [(7, "one a\ntwo b\nthree c"), (7, "one a\ntwo b\nother d"), (7, "one a\ntwo b\nthree c")]
+    got = [r.text.split("\n") for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    lines = {x for t in got for x in t}
+    assert lines == {"one a", "two b", "three c", "other d"} and sum(len(t) == 3 for t in got) in (1, 2)
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quadmill.llm import words as W
+
+    word = lambda n, flip: "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+    for n in (64, 256, 1024, 4096):
+        h = W.cut(pa.array([word(n, 0), word(n, 1), word(n, 0)])).hashes()
+        assert h[0] == h[2] != h[1] and len(np.unique(h)) == 2
+    one, two = word(1024, 0), word(1024, 1)
+    rest = " ".join(f"v{i}" for i in range(20))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, " ".join([one] * 13)), (4, " ".join([two] * 13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.dedup(docs).collect()}
+    assert got == {1: (0, None), 2: (20, two), 3: (0, None), 4: (0, None)}
+    assert {r.doc_id: r.component_id for r in jaccard.similar(docs.where("doc_id > 2"), 4, 85).collect()} == {3: 3, 4: 4}
+
+
+def test_identities_that_clash():
+    import numpy as np
+
+    from quadmill.llm import shingles as S
+
+    sets, at = np.array([1, 2, 3, 4, 5], np.uint64), np.array([0, 2, 5])
+    one, two = S.set_ids(sets, at)
+    assert jaccard.identities(sets, at, one[:1]).tolist() == [two[0], one[1]]
+    h, first = np.arange(1, 30, dtype=np.uint64), np.array([0, 10, 10, 29])
+    own = substrings.sequence_ids(h, first)
+    other = substrings.sequence_ids(h, first, own[:1])
+    assert other[0] != own[0] and other[1] == own[1] == 0 and other[2] == own[2]
+
+
 def test_substrings_of_ids_with_two_texts(spark):
     docs = spark.createDataFrame(ids_with_two_texts(), "doc_id long, text string")
     got = sorted((r.n_words, r.n_removed, r.kept) for r in substrings.dedup(docs).where("doc_id = 3").collect())
@@ -222,7 +276,9 @@ def brute_components(rows, shingle, percent):
 @pytest.mark.parametrize("heavy", [None, 0, 12])
 def test_jaccard(spark, monkeypatch, heavy):
     rows = corpus(5, 90)
+    rows += [(500, rows[12][1] + " x", "clash", 1, 2.0), (500, "quite another text " * 3, "clash", 1, 2.0), (501, "quite another text " * 3, "clash", 1, 2.0)]
     if heavy is not None:
+        monkeypatch.setattr(jaccard, "NEAREST", 1)
         monkeypatch.setattr(jaccard, "boundary", lambda *_: heavy)
         monkeypatch.setattr(jaccard, "BLOCK", 4)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, rows), 4, 85).collect())

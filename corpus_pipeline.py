@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quadmill.llm import jaccard, line_dedup, packing, quality_rules, substrings
 from quadmill.llm.queries import tokenizer_path
-from quadmill.llm.shared import keep
+from quadmill.llm.shared import Scope, keep
 from quadmill.ship import ship
 
 
@@ -30,10 +30,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (operator 8): later copies of repeated runs of lines go."""
-    # a filter is not pushed below a column of ids, so the lines are cut once and not again for the filter
-    done = line_dedup.dedup(docs).withColumn("_row", F.monotonically_increasing_id())
+    # written once: a filter on the counts would cut the lines of every document again
+    done = keep(line_dedup.dedup(docs), "lines")
     left = (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
-    return _recounted(done.where(left & (F.col("_row") >= 0)), docs.columns)
+    return _recounted(done.where(left), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing (operator 1): the pieces of the documents that are left, and their places."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1).drop("ids")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=1, with_ids=False)
 
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("near duplicates", near_duplicates), ("substring dedup", passages), ("packing", pack)]
@@ -67,6 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn, from the documents table to packed pieces."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scope(spark) as scope:
+        for name, stage in STAGES[:-1]:
+            last, docs = docs, scope.keep(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            scope.drop(last)
+        # packing writes its pieces before it returns, so the last stage's documents are read
+        return STAGES[-1][1](spark, docs, sf_dir)

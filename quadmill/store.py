@@ -43,6 +43,18 @@ class Scope:
         self.tables.append((out, path))
         return out
 
+    def append(self, df: DataFrame, path: str | None = None) -> str:
+        """df added to the table at ``path``, a new one if none is given; ``table`` reads it."""
+        new = path is None
+        path = path or f"{shared_dir(self.spark)}/rows-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").mode("append").parquet(path)
+        if new:
+            self.tables.append((df, path))
+        return path
+
+    def table(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(path)
+
     def drop(self, *tables: DataFrame) -> None:
         for df, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
             system, at = _system(self.spark, path)

@@ -112,6 +112,15 @@ def test_scores_with_a_shuffled_table(spark):
     assert found(1 << 12) == found(1 << 6) == found(1) and any(r[2] for r in found(1))
 
 
+def test_dense_tables_give_the_scores_of_joined_ones(spark, monkeypatch):
+    docs = frame(spark, corpus(1))
+    trusted = spark.createDataFrame([(d,) for d in range(0, 60, 2)] + [(None,), (4,)], "doc_id long")
+    found = lambda **k: sorted(map(str, quality_rules.judge(docs, trusted, **k).collect()))
+    assert found(buckets=1 << 12, dense=1) == found(buckets=1 << 12)
+    monkeypatch.setattr(quality_rules, "PART", 1 << 9)
+    assert found(buckets=1 << 12, dense=1) == found(buckets=1 << 12)
+
+
 def test_quality_rules_without_trust_or_rows(spark):
     docs = frame(spark, [(1, "word " * 5 + " ".join(map(str, range(30))), "x", 1, 1.0)])
     none = spark.createDataFrame([], "doc_id long")

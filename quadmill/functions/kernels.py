@@ -226,18 +226,23 @@ def extend_edges(px: np.ndarray, width: int, height: int) -> np.ndarray:
     return out
 
 
+def box(cell: int) -> tuple[int, int]:
+    """How far a box of side ``cell`` reaches before and behind its pixel; an even one reaches one less before it."""
+    return (cell - 1) // 2, cell // 2
+
+
 def fill_mean(px: np.ndarray, cell: int) -> np.ndarray:
-    """Every NODATA pixel takes the mean, rounded, of the data in the box of side ``cell`` about a data pixel that
-    reaches it; of several, the last in reading order."""
+    """Every NODATA pixel takes the mean, rounded, of the data in the box of side ``cell`` (at most the image's larger
+    side) about a data pixel that reaches it; of several, the last in reading order."""
     h, w = px.shape[:2]
     data = px[..., 3] > 0
-    reach = cell // 2
+    back, ahead = box(max(h, w) if cell > w and cell > h else cell)
     sums = np.zeros((h + 1, w + 1, 5))
     sums[1:, 1:] = np.concatenate((px * data[..., None], data[..., None]), 2).astype(float).cumsum(0).cumsum(1)
     y, x = np.nonzero(data)
-    y0, y1, x0, x1 = np.maximum(y - reach, 0), np.minimum(y + reach + 1, h), np.maximum(x - reach, 0), np.minimum(x + reach + 1, w)
-    box = sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]
-    mean = np.floor(box[:, :4] / box[:, 4:] + 0.5).astype(np.uint8)
+    y0, y1, x0, x1 = np.maximum(y - back, 0), np.minimum(y + ahead + 1, h), np.maximum(x - back, 0), np.minimum(x + ahead + 1, w)
+    total = sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]
+    mean = np.floor(total[:, :4] / total[:, 4:] + 0.5).astype(np.uint8)
     out = px.copy()
     for i in range(len(y)):
         area = (slice(y0[i], y1[i]), slice(x0[i], x1[i]))
@@ -245,6 +250,16 @@ def fill_mean(px: np.ndarray, cell: int) -> np.ndarray:
     return out
 
 
+def fill_nodata(px: np.ndarray, width: int, height: int, edges: bool = True, means: bool = True) -> np.ndarray:
+    """A padded image whose data fill the first ``width`` columns and ``height`` rows: edges extended, then what is left
+    filled by means of boxes twice as wide as the padding (at least 3, at most the image)."""
+    out = extend_edges(px, width, height) if edges else px
+    if means:
+        pad = max(px.shape[1] - width, px.shape[0] - height)
+        out = fill_mean(out, max(min(2 * pad + 2, px.shape[1]), 3))
+    return out
+
+
 # ---------------------------------------------------------------------------------------------- tiles
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadmill.functions.kernels import SIMILAR
+from quadmill.functions.kernels import SIMILAR, box
 
 CHANNELS = ("r", "g", "b", "a")
 
@@ -148,7 +148,10 @@ def regions(px: DataFrame, size: int) -> DataFrame:
     """Dense regions of interest: z, rx, ry and v, an array of size * size packed pixels, rows first; 0 is NODATA."""
     place = (F.col("gy") % size) * size + F.col("gx") % size
     by = packed(px).groupBy("z", F.expr(f"gx div {size}").alias("rx"), F.expr(f"gy div {size}").alias("ry"))
-    cells = by.agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), "v"))).alias("cells"))
+    # of rows for one place the greatest counts
+    cells = by.agg(F.sort_array(F.collect_list(F.struct(place.alias("i"), "v"))).alias("p"))
+    last = F.filter("p", lambda x, j: F.coalesce(F.get("p", j + 1)["i"] != x["i"], F.lit(True)))
+    cells = cells.select("z", "rx", "ry", F.map_from_entries(last).alias("cells"))
     # the map is scattered once; looked up by place it would be searched for each pixel
     pairs = F.sort_array(F.map_entries("cells"))
     cells = cells.withColumn("p", pairs)
@@ -246,16 +249,27 @@ def extend_edges(px: DataFrame, size: int, width: int, height: int) -> DataFrame
 
 def fill_mean(px: DataFrame, size: int, cell: int) -> DataFrame:
     """NODATA within reach of data takes the rounded mean of the data in the box of the last data pixel, in reading
-    order, that reaches it; boxes stay in their tile."""
-    reach = cell // 2
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    order, that reaches it; boxes have ``cell`` pixels a side (see ``kernels.box``) and stay in their tile."""
+    back, ahead = box(min(cell, size))
     px = px.where("a > 0").withColumn("tx", F.expr(f"gx div {size}")).withColumn("ty", F.expr(f"gy div {size}"))
-    near = px.select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
-    near = near.select("z", "tx", "ty", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"), "gx", "gy", *CHANNELS)
-    near = near.where((F.expr(f"x div {size}") == F.col("tx")) & (F.expr(f"y div {size}") == F.col("ty")) & (F.col("x") >= 0) & (F.col("y") >= 0))
-    # the box of (x, y) holds the data pixels that reach it, so one scatter gives every box's sums
-    sums = near.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHANNELS], F.max_by(F.struct("gx", "gy"), F.struct("gy", "gx")).alias("last"))
+
+    def scattered(low: int, high: int) -> DataFrame:
+        """Every data pixel at each place (x, y) from ``low`` before it to ``high`` behind it."""
+        steps = F.sequence(F.lit(-low), F.lit(high))
+        near = px.select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy"))
+        near = near.select("z", "tx", "ty", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"), "gx", "gy", *CHANNELS)
+        return near.where((F.expr(f"x div {size}") == F.col("tx")) & (F.expr(f"y div {size}") == F.col("ty")) & (F.col("x") >= 0) & (F.col("y") >= 0))
+
+    # a data pixel counts in the boxes of the places behind which it lies by no more than they reach ahead
+    sums = scattered(ahead, back).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHANNELS])
     means = sums.select("z", F.col("x").alias("mx"), F.col("y").alias("my"), *[F.floor((2 * F.col(c) + F.col("n")) / (2 * F.col("n"))).cast("int").alias(c) for c in CHANNELS])
-    holes = sums.select("z", F.col("x").alias("gx"), F.col("y").alias("gy"), "last").join(px.select("z", "gx", "gy"), ["z", "gx", "gy"], "left_anti")
+    reached = scattered(back, ahead).groupBy("z", "x", "y").agg(F.max_by(F.struct("gx", "gy"), F.struct("gy", "gx")).alias("last"))
+    holes = reached.select("z", F.col("x").alias("gx"), F.col("y").alias("gy"), "last").join(px.select("z", "gx", "gy"), ["z", "gx", "gy"], "left_anti")
     filled = holes.select("z", "gx", "gy", F.col("last.gx").alias("mx"), F.col("last.gy").alias("my")).join(means, ["z", "mx", "my"])
     return px.select("z", "gx", "gy", *CHANNELS).unionByName(filled.select("z", F.col("gx").cast("int").alias("gx"), F.col("gy").cast("int").alias("gy"), *CHANNELS))
+
+
+def any_data(px: DataFrame, tiles: DataFrame, size: int, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """z, x, y and any_data of every tile (z, x, y) given: whether it, or the box x0, y0, x1, y1 (inclusive) in it, holds a pixel with data."""
+    found = data_count(px, size, box).select("z", "x", "y", F.lit(True).alias("any_data"))
+    return tiles.select("z", "x", "y").join(found, ["z", "x", "y"], "left").withColumn("any_data", F.coalesce("any_data", F.lit(False)))

@@ -168,3 +168,29 @@ def statistics(tiles: DataFrame) -> DataFrame:
 def filled(tiles: DataFrame, cell: int) -> DataFrame:
     """Tiles whose NODATA near data takes the mean of its neighbourhood (see ``kernels.fill_mean``)."""
     return _map(tiles, lambda z, x, y, w, h, rgba: [(z, x, y, w, h, K.fill_mean(_array(rgba, w, h), cell).tobytes())], TILE, _NAMES)
+
+
+def filled_padding(tiles: DataFrame, width: int, height: int, edges: bool = True, means: bool = True) -> DataFrame:
+    """Padded tiles with their edges extended and their NODATA filled (see ``kernels.fill_nodata``)."""
+    return _map(tiles, lambda z, x, y, w, h, rgba: [(z, x, y, w, h, K.fill_nodata(_array(rgba, w, h), width, height, edges, means).tobytes())], TILE, _NAMES)
+
+
+def any_data(tiles: DataFrame, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """z, x, y and whether the tile, or the box x0, y0, x1, y1 (inclusive) in it, holds a pixel with data."""
+    x0, y0, x1, y1 = box or (0, 0, 1 << 30, 1 << 30)
+    return _map(tiles, lambda z, x, y, w, h, rgba: [(z, x, y, bool(_array(rgba, w, h)[y0 : y1 + 1, x0 : x1 + 1, 3].any()))], "z int, x int, y int, any_data boolean", _NAMES)
+
+
+def recompress(files: DataFrame, level: int = 9) -> DataFrame:
+    """z, x, y, png, bytes_before and bytes_after of files (z, x, y, content): each PNG encoded anew, or as it was where
+    that is no smaller; what is no PNG is left out."""
+
+    def each(z, x, y, content):
+        try:
+            new = png.encode(png.decode(content or b""), level)
+        except png.NotPNG:
+            return []
+        new = new if len(new) < len(content) else bytes(content)
+        return [(z, x, y, new, len(content), len(new))]
+
+    return _map(files, each, "z int, x int, y int, png binary, bytes_before long, bytes_after long", ["z", "x", "y", "content"])

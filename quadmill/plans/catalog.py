@@ -87,9 +87,20 @@ def data_count_roi(spark, sf_dir):
     return P.data_count(pixels(spark, sf_dir), SIZE, (2, 3, 9, 12))
 
 
+def all_tiles(spark: SparkSession, size: int) -> DataFrame:
+    """Every tile of the raster, with data or not."""
+    side = SIDE // size
+    return spark.range(side * side).select(F.lit(LEVEL).alias("z"), (F.col("id") % side).cast("int").alias("x"), F.expr(f"CAST(id DIV {side} AS INT)").alias("y"))
+
+
 def any_data_tile(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    return px.groupBy(*P.tile_of(SIZE)).agg(F.bool_or(F.col("a") > 0).alias("any_data"), F.bool_or((F.col("gx") % SIZE < 4) & (F.col("gy") % SIZE < 4)).alias("any_in_corner"))
+    """Tiles of 2 x 2 pixels, of which some have no data."""
+    return P.any_data(pixels(spark, sf_dir), all_tiles(spark, 2), 2)
+
+
+def any_data_box(spark, sf_dir):
+    """One row of three pixels in each tile."""
+    return P.any_data(pixels(spark, sf_dir), all_tiles(spark, SIZE), SIZE, (4, 7, 6, 7))
 
 
 def roi_nonempty(spark, sf_dir):
@@ -132,13 +143,13 @@ def blend_levels(spark, sf_dir):
 
 
 def nn_enlarge(spark, sf_dir):
-    return P.nearest(pixels(spark, sf_dir).where("gx < 64 AND gy < 64"), 2)
+    return P.nearest(pixels(spark, sf_dir), 2)
 
 
 def nn_bitmask(spark, sf_dir):
     """An enlarged raster where the half-size raster, enlarged, has data."""
     px = pixels(spark, sf_dir)
-    return P.masked(P.nearest(px.where("gx < 64"), 1), P.nearest(px.where("r % 2 = 0"), 1)).groupBy("gy").agg(F.count(F.lit(1)).alias("px"), F.sum("gx").alias("sum_gx"), F.sum("r").alias("sum_r"))
+    return P.masked(P.nearest(px, 1), P.nearest(px.where("r % 2 = 0"), 1)).groupBy("gy").agg(F.count(F.lit(1)).alias("px"), F.sum("gx").alias("sum_gx"), F.sum("r").alias("sum_r"))
 
 
 def epx_enlarge(spark, sf_dir):
@@ -150,7 +161,7 @@ def eagle_enlarge(spark, sf_dir):
 
 
 def bilinear_enlarge(spark, sf_dir):
-    return P.bilinear(pixels(spark, sf_dir).where("gx < 128 AND gy < 128"), 8, 16)
+    return P.bilinear(pixels(spark, sf_dir), 8, 16)
 
 
 def edge_extend(spark, sf_dir):
@@ -158,38 +169,11 @@ def edge_extend(spark, sf_dir):
 
 
 def nodata_fill_mean(spark, sf_dir):
-    return P.fill_mean(pixels(spark, sf_dir).where("r % 4 = 0"), SIZE, 5)
-
-
-# Six of the queries above and below, whose SQL fixes a corner of their table, over the whole of it and so without SQL.
-
-
-def nn_enlarge_whole(spark, sf_dir):
-    return P.nearest(pixels(spark, sf_dir), 2)
-
-
-def nn_bitmask_whole(spark, sf_dir):
-    """The mask is the pixels of even red, as in ``nn_bitmask``."""
-    px = pixels(spark, sf_dir)
-    return P.masked(P.nearest(px, 1), P.nearest(px.where("r % 2 = 0"), 1)).groupBy("gy").agg(F.count(F.lit(1)).alias("px"), F.sum("gx").alias("sum_gx"), F.sum("r").alias("sum_r"))
-
-
-def bilinear_enlarge_whole(spark, sf_dir):
-    return P.bilinear(pixels(spark, sf_dir), 8, 16)
-
-
-def nodata_fill_mean_whole(spark, sf_dir):
-    """The holes are the raster's own."""
     return P.fill_mean(pixels(spark, sf_dir), SIZE, 5)
 
 
-def children_expand_whole(spark, sf_dir):
-    return grid.children(tiles(spark, sf_dir), 2)
-
-
-def roi_for_children_whole(spark, sf_dir):
-    df = grid.children(tiles(spark, sf_dir), 2)
-    return df.select("child_z", "child_x", "child_y", grid.roi(F.col("child_x"), 2, 256).alias("roi_x"), grid.roi(F.col("child_y"), 2, 256).alias("roi_y"), F.lit(256 >> 2).alias("roi_size"))
+def nodata_fill_mean_even(spark, sf_dir):
+    return P.fill_mean(pixels(spark, sf_dir), SIZE, 4)
 
 
 def tile_catalog_parse(spark, sf_dir):
@@ -233,11 +217,11 @@ def quad_clusters(spark, sf_dir):
 
 
 def children_expand(spark, sf_dir):
-    return grid.children(tiles(spark, sf_dir).where("x < 16"), 2)
+    return grid.children(tiles(spark, sf_dir), 2)
 
 
 def roi_for_children(spark, sf_dir):
-    df = grid.children(tiles(spark, sf_dir).where("x < 16"), 2)
+    df = grid.children(tiles(spark, sf_dir), 2)
     return df.select("child_z", "child_x", "child_y", grid.roi(F.col("child_x"), 2, 256).alias("roi_x"), grid.roi(F.col("child_y"), 2, 256).alias("roi_y"), F.lit(256 >> 2).alias("roi_size"))
 
 
@@ -267,7 +251,7 @@ QUERIES = {
         palette_size, palette_order, png_color_type, opaque_gray_flags, channel_pack_unpack, pixel_distance, blend_levels, nn_enlarge, nn_bitmask,
         epx_enlarge, eagle_enlarge, bilinear_enlarge, edge_extend, nodata_fill_mean, tile_catalog_parse, tile_parse_legacy, tile_path_format_all,
         tile_parse_lenient, path_parts, tile_counts, quad_clusters, children_expand, roi_for_children, quadrant_offset, kernel_padding, dir_sort, tile_latest,
-        nn_enlarge_whole, nn_bitmask_whole, bilinear_enlarge_whole, nodata_fill_mean_whole, children_expand_whole, roi_for_children_whole,
+        nodata_fill_mean_even, any_data_box,
     )
 }
 QUERIES |= T.queries(pixels, few_colours)

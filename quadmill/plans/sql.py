@@ -72,7 +72,8 @@ ORACLES = {
     "lanczos_mask_rule": f"WITH {_PX} SELECT gx, gy, CASE WHEN r % 3 = 0 THEN 0 WHEN a % 4 = 0 THEN 16777216 ELSE (a % 4)::BIGINT * 16777216 + b * 65536 + g * 256 + r END AS v FROM px",
     "data_count_tile": f"WITH {_PX} SELECT 4 AS z, gx // 16 AS x, gy // 16 AS y, count(*) AS data_px FROM px GROUP BY ALL",
     "data_count_roi": f"WITH {_PX} SELECT 4 AS z, gx // 16 AS x, gy // 16 AS y, count(*) AS data_px FROM px WHERE gx % 16 BETWEEN 2 AND 9 AND gy % 16 BETWEEN 3 AND 12 GROUP BY ALL",
-    "any_data_tile": f"WITH {_PX} SELECT 4 AS z, gx // 16 AS x, gy // 16 AS y, count(*) > 0 AS any_data, count(*) FILTER (gx % 16 < 4 AND gy % 16 < 4) > 0 AS any_in_corner FROM px GROUP BY ALL",
+    "any_data_tile": f"WITH {_PX} SELECT 4 AS z, CAST(i % 128 AS INT) AS x, CAST(i // 128 AS INT) AS y, n IS NOT NULL AS any_data FROM range(16384) t(i) LEFT JOIN (SELECT gx // 2 AS x, gy // 2 AS y, count(*) AS n FROM px GROUP BY ALL) d ON d.x = i % 128 AND d.y = i // 128",
+    "any_data_box": f"WITH {_PX} SELECT 4 AS z, CAST(i % 16 AS INT) AS x, CAST(i // 16 AS INT) AS y, n IS NOT NULL AS any_data FROM range(256) t(i) LEFT JOIN (SELECT gx // 16 AS x, gy // 16 AS y, count(*) AS n FROM px WHERE gx % 16 BETWEEN 4 AND 6 AND gy % 16 = 7 GROUP BY ALL) d ON d.x = i % 16 AND d.y = i // 16",
     "roi_nonempty": f"WITH {_PX} SELECT DISTINCT 5 AS z, gx // 8 AS x, gy // 8 AS y FROM px",
     "palette_size": f"WITH {_PX}, s AS ({_STATS} FROM px GROUP BY ALL) SELECT z, x, y, CAST(n_colors AS BIGINT) AS n_colors FROM s",
     "palette_order": f"""WITH {_FEW}, q AS (SELECT z, gx // 16 AS x, gy // 16 AS y, (gy % 16) * 16 + gx % 16 AS i, CASE WHEN r = 1 THEN 100 ELSE 255 END AS a, r, g, b FROM few),
@@ -88,11 +89,11 @@ SELECT z, x, y, CASE WHEN n_colors > 256 THEN CASE WHEN is_opaque THEN 2 ELSE 6
     "blend_levels": f"WITH {_PX} SELECT p.gx, p.gy, "
     + ", ".join("CAST(" + " + ".join(f"((p.{c} * {m} + q.{c} * {n}) >> {s})::BIGINT * {1 << 8 * i}" for i, c in enumerate("rgba")) + f" AS BIGINT) AS b{m}{n}" for m, n, s in ((1, 3, 2), (3, 1, 2), (1, 1, 1)))
     + " FROM px p JOIN px q ON q.gx = p.gx + 1 AND q.gy = p.gy",
-    "nn_enlarge": f"WITH {_PX} SELECT 6 AS z, CAST(gx * 4 + i AS INT) AS gx, CAST(gy * 4 + j AS INT) AS gy, r, g, b, a FROM px, range(4) s(i), range(4) t(j) WHERE gx < 64 AND gy < 64",
-    "nn_bitmask": f"WITH {_PX}, e AS (SELECT gx * 2 + i AS gx, gy * 2 + j AS gy, r FROM px, range(2) s(i), range(2) t(j) WHERE gx < 64 AND r % 2 = 0) SELECT CAST(gy AS INT) AS gy, count(*) AS px, CAST(sum(gx) AS BIGINT) AS sum_gx, CAST(sum(r) AS BIGINT) AS sum_r FROM e GROUP BY gy",
+    "nn_enlarge": f"WITH {_PX} SELECT 6 AS z, CAST(gx * 4 + i AS INT) AS gx, CAST(gy * 4 + j AS INT) AS gy, r, g, b, a FROM px, range(4) s(i), range(4) t(j)",
+    "nn_bitmask": f"WITH {_PX}, e AS (SELECT gx * 2 + i AS gx, gy * 2 + j AS gy, r FROM px, range(2) s(i), range(2) t(j) WHERE r % 2 = 0) SELECT CAST(gy AS INT) AS gy, count(*) AS px, CAST(sum(gx) AS BIGINT) AS sum_gx, CAST(sum(r) AS BIGINT) AS sum_r FROM e GROUP BY gy",
     "epx_enlarge": f"WITH {_NEAR}, {_four([_epx('w', 'n'), _epx('e', 'n'), _epx('w', 's'), _epx('e', 's')])} {_OUT}",
     "eagle_enlarge": f"WITH {_NEAR}, {_four([_corner('w', 'nw', 'n'), _corner('e', 'ne', 'n'), _corner('w', 'sw', 's'), _corner('e', 'se', 's')])} {_OUT}",
-    "bilinear_enlarge": f"""WITH {_PX}, v AS (SELECT gx, gy, {_V} AS v FROM px WHERE gx < 128 AND gy < 128), rois AS (SELECT DISTINCT gx // 8 AS rx, gy // 8 AS ry FROM v),
+    "bilinear_enlarge": f"""WITH {_PX}, v AS (SELECT gx, gy, {_V} AS v FROM px), rois AS (SELECT DISTINCT gx // 8 AS rx, gy // 8 AS ry FROM v),
 w AS (SELECT CAST(i AS INT) AS i, (i * 30583) >> 16 AS low, (i * 30583) >> 9 & 127 AS weight, least(((i * 30583) >> 16) + 1, 7) AS high FROM range(16) t(i)),
 c AS (SELECT rx, ry, a.i AS px, b.i AS py, a.weight AS wx, b.weight AS wy, rx * 8 + a.low AS x0, rx * 8 + a.high AS x1, ry * 8 + b.low AS y0, ry * 8 + b.high AS y1 FROM rois, w a, w b)
 SELECT 4 AS z, rx, ry, c.px, c.py, {", ".join(map(_lerp, range(4)))} FROM (
@@ -100,7 +101,7 @@ SELECT 4 AS z, rx, ry, c.px, c.py, {", ".join(map(_lerp, range(4)))} FROM (
   LEFT JOIN v s ON s.gx = x0 AND s.gy = y1 LEFT JOIN v t ON t.gx = x1 AND t.gy = y1) c""".replace("30583", str((7 << 16) // 15)),
     "edge_extend": f"""WITH {_PX}, wide AS (SELECT * FROM px UNION ALL SELECT p.z, CAST(p.gx + i AS INT), p.gy, p.r, p.g, p.b, p.a FROM px p, range(1, 5) t(i) WHERE p.gx % 16 = 11 AND NOT EXISTS (SELECT 1 FROM px o WHERE o.gx = p.gx + i AND o.gy = p.gy))
 SELECT * FROM wide UNION ALL SELECT p.z, p.gx, CAST(p.gy + i AS INT), p.r, p.g, p.b, p.a FROM wide p, range(1, 4) t(i) WHERE p.gy % 16 = 12 AND NOT EXISTS (SELECT 1 FROM wide o WHERE o.gx = p.gx AND o.gy = p.gy + i)""",
-    "nodata_fill_mean": f"""WITH {_PX}, q AS (SELECT * FROM px WHERE r % 4 = 0),
+    "nodata_fill_mean": f"""WITH {_PX}, q AS (SELECT * FROM px),
 near AS (SELECT p.gx + dx AS x, p.gy + dy AS y, p.* FROM q p, range(-2, 3) s(dx), range(-2, 3) t(dy) WHERE p.gx + dx >= 0 AND p.gy + dy >= 0 AND (p.gx + dx) // 16 = p.gx // 16 AND (p.gy + dy) // 16 = p.gy // 16),
 m AS (SELECT x, y, {", ".join(f"(2 * sum({c}) + count(*)) // (2 * count(*)) AS {c}" for c in "rgba")}, arg_max(gx, gy * 256 + gx) AS lx, arg_max(gy, gy * 256 + gx) AS ly FROM near GROUP BY x, y)
 SELECT z, gx, gy, r, g, b, a FROM q UNION ALL
@@ -114,8 +115,8 @@ SELECT id, {", ".join(f"CAST(CASE WHEN len(parts) > {n + 1} THEN len(array_to_st
   regexp_replace(osm, '/[^/]*$', '') AS folder, regexp_extract(osm, '\\.([^./]*)$', 1) AS extension, regexp_replace(osm, '/[^/]*$', '') || '/a.png' AS joined FROM s""",
     "tile_counts": f"WITH {_TILES} SELECT count(*) AS tiles, count(DISTINCT (x // 2) * 1000 + y // 2) AS parents FROM tiles",
     "quad_clusters": f"WITH {_TILES} SELECT 5 AS pz, x // 2 AS px, y // 2 AS py, CAST((y // 2) * 32 + x // 2 AS BIGINT) AS parent_key, count(*) AS members, string_agg(CAST(y * 64 + x AS VARCHAR), ',' ORDER BY y * 64 + x) AS member_keys FROM tiles GROUP BY x // 2, y // 2",
-    "children_expand": f"WITH {_TILES} SELECT z, x, y, 8 AS child_z, CAST(x * 4 + i AS INT) AS child_x, CAST(y * 4 + j AS INT) AS child_y FROM tiles, range(4) s(i), range(4) t(j) WHERE x < 16",
-    "roi_for_children": f"WITH {_TILES} SELECT 8 AS child_z, CAST(x * 4 + i AS INT) AS child_x, CAST(y * 4 + j AS INT) AS child_y, CAST(i * 64 AS INT) AS roi_x, CAST(j * 64 AS INT) AS roi_y, 64 AS roi_size FROM tiles, range(4) s(i), range(4) t(j) WHERE x < 16",
+    "children_expand": f"WITH {_TILES} SELECT z, x, y, 8 AS child_z, CAST(x * 4 + i AS INT) AS child_x, CAST(y * 4 + j AS INT) AS child_y FROM tiles, range(4) s(i), range(4) t(j)",
+    "roi_for_children": f"WITH {_TILES} SELECT 8 AS child_z, CAST(x * 4 + i AS INT) AS child_x, CAST(y * 4 + j AS INT) AS child_y, CAST(i * 64 AS INT) AS roi_x, CAST(j * 64 AS INT) AS roi_y, 64 AS roi_size FROM tiles, range(4) s(i), range(4) t(j)",
     "quadrant_offset": f"WITH {_TILES} SELECT z, x, y, x % 2 * 128 AS off_x, y % 2 * 128 AS off_y FROM tiles",
     "kernel_padding": f"""WITH {_TILES}, k(method, extent) AS (VALUES ('lanczos3', 3), ('lanczos5', 5), ('bilinear', 2), ('nearest', 1), ('epx', 3), ('eagle', 3), ('average', 2), ('xbr', 5)),
 e AS (SELECT method, extent, extent // 2 + extent % 2 AS reach FROM k), s AS (SELECT DISTINCT x % 2 * 128 AS roi_x FROM tiles)
@@ -132,3 +133,11 @@ ORACLES["tile_eagle"] = ORACLES["eagle_enlarge"]
 ORACLES["tile_statistics"] = f"WITH {_PX}, s AS ({_STATS} FROM px GROUP BY ALL) SELECT z, x, y, CAST(n AS BIGINT) AS data_px, CAST(n_colors AS BIGINT) AS n_colors FROM s"
 ORACLES["tile_png_round_trip"] = f"WITH {_PX} SELECT * FROM px"
 ORACLES["tile_pyramid"] = ORACLES["pyramid_levels"].replace("SELECT * FROM px UNION ALL SELECT * FROM l3", "SELECT * FROM l3")
+#: Boxes of 4 reach one pixel before their own and two behind it, so a pixel counts in boxes of places two before it to one behind it.
+ORACLES["nodata_fill_mean_even"] = f"""WITH {_PX}, o AS (SELECT i AS dx, j AS dy FROM range(-1, 3) s(i), range(-1, 3) t(j)),
+near AS (SELECT p.gx AS x, p.gy AS y, q.r, q.g, q.b, q.a FROM px p, o JOIN px q ON q.gx = p.gx + dx AND q.gy = p.gy + dy WHERE q.gx // 16 = p.gx // 16 AND q.gy // 16 = p.gy // 16),
+m AS (SELECT x, y, {", ".join(f"(2 * sum({c}) + count(*)) // (2 * count(*)) AS {c}" for c in "rgba")} FROM near GROUP BY x, y),
+h AS (SELECT p.gx + dx AS x, p.gy + dy AS y, arg_max(p.gx, p.gy * 256 + p.gx) AS lx, arg_max(p.gy, p.gy * 256 + p.gx) AS ly FROM px p, o
+  WHERE p.gx + dx >= 0 AND p.gy + dy >= 0 AND (p.gx + dx) // 16 = p.gx // 16 AND (p.gy + dy) // 16 = p.gy // 16 GROUP BY 1, 2)
+SELECT z, gx, gy, r, g, b, a FROM px UNION ALL
+SELECT 4, CAST(h.x AS INT), CAST(h.y AS INT), CAST(m.r AS INT), CAST(m.g AS INT), CAST(m.b AS INT), CAST(m.a AS INT) FROM h JOIN m ON m.x = h.lx AND m.y = h.ly WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.gx = h.x AND px.gy = h.y)"""

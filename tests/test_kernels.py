@@ -80,42 +80,74 @@ def test_padding():
     assert {m: K.reach_of(m) for m in ("bilinear", "lanczos3", "lanczos5")} == {"bilinear": 1, "lanczos3": 2, "lanczos5": 3}
 
 
+def pixel(px, y, x):
+    """A pixel as whole numbers, clamped to the edge."""
+    h, w = px.shape[:2]
+    return px[min(max(y, 0), h - 1), min(max(x, 0), w - 1)].astype(int)
+
+
+def apart(p, q):
+    return int(np.abs(p - q).sum())
+
+
+def alike(p, q):
+    return bool((np.abs(p - q) <= K.SIMILAR).all())
+
+
+def turned(place, quarters):
+    """A place (row, column) about the centre, turned by so many quarters to the left."""
+    row, column = place
+    for _ in range(quarters):
+        row, column = -column, row
+    return row, column
+
+
+def edge_of(at):
+    """What the rule says of the lower right corner: no edge, a weak one, or a strong one that is steep, flat or even; and the colour.
+
+    at(row, column) is the neighbour there; the edge would run from the neighbour below to the one on the right."""
+    centre, right, below, corner = at(0, 0), at(0, 1), at(1, 0), at(1, 1)
+    if (centre == below).all() and (centre == right).all():
+        return "none", centre
+    along = sum(apart(centre, at(*p)) for p in ((-1, 1), (1, -1))) + sum(apart(corner, at(*p)) for p in ((0, 2), (2, 0))) + 4 * apart(below, right)
+    across = sum(apart(below, at(*p)) for p in ((0, -1), (2, 1))) + sum(apart(right, at(*p)) for p in ((1, 2), (-1, 0))) + 4 * apart(centre, corner)
+    colour = right if apart(centre, right) <= apart(centre, below) else below
+    signs = [
+        not alike(right, at(-1, 0)) and not alike(below, at(0, -1)),
+        alike(centre, corner) and not alike(right, at(1, 2)) and not alike(below, at(2, 1)),
+        alike(centre, at(1, -1)),
+        alike(centre, at(-1, 1)),
+    ]
+    if along < across and any(signs):
+        low, high = apart(right, at(1, -1)), apart(below, at(-1, 1))
+        if high >= 2 * low and not alike(centre, at(1, -1)) and not alike(at(0, -1), at(1, -1)):
+            return "steep", colour
+        if low >= 2 * high and not alike(right, at(1, -1)) and not alike(at(-1, 0), at(-1, 1)):
+            return "flat", colour
+        return "even", colour
+    return ("weak" if along <= across else "none"), colour
+
+
 def slow_xbr(px):
-    """One pixel at a time, from the rule as stated."""
+    """One pixel at a time: each corner's edge, in four views that turn to the left, and its blend of quarters."""
     h, w = px.shape[:2]
-    at = lambda y, x: tuple(int(v) for v in px[min(max(y, 0), h - 1), min(max(x, 0), w - 1)])
-    diff = lambda p, q: sum(abs(a - b) for a, b in zip(p, q))
-    like = lambda p, q: all(abs(a - b) <= 16 for a, b in zip(p, q))
-    mix = lambda p, q, m, n, s: tuple((a * m + b * n) >> s for a, b in zip(p, q))
-    out = np.zeros((2 * h, 2 * w, 4), np.uint8)
-    places = {k: (y, x) for y, row in enumerate([" abc ", "dABCe", "fDEFg", "hGHIi", " jkl "]) for x, k in enumerate(row) if k != " "}
-    passes = ["BCDEFgGHIikl 123", "DAHEBbIFCcge 031", "HGFEDfCBAdba 210", "FIBEHkADGjfh 302"]
+    out = K.nearest(px, 2).astype(int)
+    # quarters of the new colour in the corner itself, above it and left of it, as seen in the first view
+    share = {"none": {}, "weak": {(1, 1): 1}, "even": {(1, 1): 2}, "steep": {(1, 1): 3, (1, -1): 1}, "flat": {(1, 1): 3, (-1, 1): 1}}
     for y in range(h):
         for x in range(w):
-            n = {k: at(y + p[0] - 2, x + p[1] - 2) for k, p in places.items()}
-            d = [n["E"]] * 4
-            for line in passes:
-                names, targets = line.split()
-                B, C, D, E, F, F4, G, H, I, I4, H5, I5 = (n[k] for k in names)  # noqa: E741
-                o1, o2, o3 = map(int, targets)
-                if E == H and E == F:
-                    continue
-                red = diff(E, C) + diff(E, G) + diff(I, F4) + diff(I, H5) + 4 * diff(H, F)
-                blue = diff(H, D) + diff(H, I5) + diff(F, I4) + diff(F, B) + 4 * diff(E, I)
-                new = F if diff(E, F) <= diff(E, H) else H
-                if red < blue and ((not like(F, B) and not like(H, D)) or (like(E, I) and not like(F, I4) and not like(H, I5)) or like(E, G) or like(E, C)):
-                    ke, ki = diff(F, G), diff(H, C)
-                    if ki >= 2 * ke and not like(E, G) and not like(D, G):
-                        d[o3], d[o2] = mix(d[o3], new, 1, 3, 2), mix(d[o2], new, 3, 1, 2)
-                    elif ke >= 2 * ki and not like(F, G) and not like(B, C):
-                        d[o3], d[o1] = mix(d[o3], new, 1, 3, 2), mix(d[o1], new, 3, 1, 2)
-                    else:
-                        d[o3] = mix(d[o3], new, 1, 1, 1)
-                elif red <= blue:
-                    d[o3] = mix(d[o3], new, 3, 1, 2)
-            for q in range(4):
-                out[2 * y + q // 2, 2 * x + q % 2] = d[q]
-    return out
+            for quarters in range(4):
+
+                def at(row, column):
+                    dy, dx = turned((row, column), quarters)
+                    return pixel(px, y + dy, x + dx)
+
+                kind, colour = edge_of(at)
+                for place, new in share[kind].items():
+                    row, column = turned(place, quarters)
+                    target = 2 * y + (row > 0), 2 * x + (column > 0)
+                    out[target] = (out[target] * (4 - new) + colour * new) // 4
+    return out.astype(np.uint8)
 
 
 def test_xbr():
@@ -154,11 +186,14 @@ def test_children_cover_the_parent():
 
 def slow_fill(px, cell):
     h, w = px.shape[:2]
-    out, r = px.copy(), cell // 2
+    out = px.copy()
+    if cell > h and cell > w:
+        cell = max(h, w)
+    before, after = ((cell - 1) // 2, (cell - 1) // 2) if cell % 2 else (cell // 2 - 1, cell // 2)
     for y in range(h):
         for x in range(w):
             if px[y, x, 3]:
-                box = [(j, i) for j in range(max(y - r, 0), min(y + r + 1, h)) for i in range(max(x - r, 0), min(x + r + 1, w))]
+                box = [(j, i) for j in range(max(y - before, 0), min(y + after + 1, h)) for i in range(max(x - before, 0), min(x + after + 1, w))]
                 data = [px[p] for p in box if px[p][3]]
                 mean = [int(sum(int(d[c]) for d in data) / len(data) + 0.5) for c in range(4)]
                 for p in box:
@@ -169,7 +204,13 @@ def slow_fill(px, cell):
 
 def test_fill_mean_and_edges():
     px = raster(11, 12, 12, holes=0.7)
-    assert (K.fill_mean(px, 5) == slow_fill(px, 5)).all()
+    for cell in (1, 2, 3, 4, 5, 8, 12, 13, 40):
+        assert (K.fill_mean(px, cell) == slow_fill(px, cell)).all()
+    padded = px.copy()
+    padded[:, 9:], padded[10:] = 0, 0
+    assert (K.fill_nodata(padded, 9, 10) == slow_fill(K.extend_edges(padded, 9, 10), 8)).all()
+    assert (K.fill_nodata(padded, 9, 10, edges=False) == slow_fill(padded, 8)).all()
+    assert (K.fill_nodata(padded, 9, 10, means=False) == K.extend_edges(padded, 9, 10)).all()
     wide = np.zeros((4, 4, 4), np.uint8)
     wide[:2, :2] = [[[1, 1, 1, 1], [2, 2, 2, 2]], [[3, 3, 3, 3], [4, 4, 4, 4]]]
     assert K.extend_edges(wide, 2, 2)[..., 0].tolist() == [[1, 2, 2, 2], [3, 4, 4, 4], [3, 4, 4, 4], [3, 4, 4, 4]]

@@ -35,27 +35,6 @@ def test_query_without_sql_gives_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-#: The filters that the SQL of a query has beyond its operator.
-CORNERS = {
-    "nn_enlarge": " WHERE gx < 64 AND gy < 64",
-    "nn_bitmask": "gx < 64 AND ",
-    "bilinear_enlarge": " WHERE gx < 128 AND gy < 128",
-    "nodata_fill_mean": " WHERE r % 4 = 0",
-    "children_expand": " WHERE x < 16",
-    "roi_for_children": " WHERE x < 16",
-}
-
-
-@pytest.mark.parametrize("name", sorted(CORNERS))
-def test_query_of_the_whole_table(spark, duck, sf, name):
-    assert catalog.ORACLES[name].count(CORNERS[name]) == 1
-    df = catalog.QUERIES[f"{name}_whole"](spark, sf)
-    want = duck.sql(catalog.ORACLES[name].replace(CORNERS[name], ""))
-    rows = want.fetchall()
-    assert plain(map(tuple, df.collect()), df.columns) == plain(rows, want.columns)
-    assert len(rows) > len(duck.sql(catalog.ORACLES[name]).fetchall()) or name in ("nn_bitmask", "nodata_fill_mean")
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

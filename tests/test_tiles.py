@@ -158,3 +158,25 @@ def test_streaming(spark, tmp_path):
     one = arrived.where("x = 4 AND y = 6").select("z", "x", "y")
     got, whole = arrays(S.renewed(arrived, one, "average")), arrays(T.downsample(arrived, "average"))
     assert got.keys() == {(4, 2, 3)} and (got[4, 2, 3] == whole[4, 2, 3]).all()
+
+
+def test_a_pixel_given_twice_counts_as_its_greatest(spark):
+    rows = [(3, 1, 1, 5, 0, 0, 255), (3, 1, 1, 9, 0, 0, 255), (3, 0, 1, 7, 0, 0, 255), (3, 9, 9, 1, 1, 1, 255)]
+    px = spark.createDataFrame(rows, "z int, gx int, gy int, r int, g int, b int, a int")
+    back = T.to_pixels(T.from_pixels(px, 8))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows[1:]))
+    once = spark.createDataFrame(rows[1:], px.schema)
+    for f in (lambda x: P.eagle(x, 8), lambda x: P.epx(x, 8), lambda x: P.bilinear(x, 8, 16)):
+        assert sorted(map(tuple, f(px).collect())) == sorted(map(tuple, f(once).collect()))
+
+
+def test_any_data_and_recompress(spark):
+    px = spark.createDataFrame([(3, 1, 1, 5, 0, 0, 255), (3, 12, 3, 7, 0, 0, 255)], "z int, gx int, gy int, r int, g int, b int, a int")
+    own = T.from_pixels(px, 8)
+    assert sorted(map(tuple, T.any_data(own, (0, 0, 3, 2)).collect())) == [(3, 0, 0, True), (3, 1, 0, False)]
+    catalog = spark.createDataFrame([(3, 0, 0), (3, 1, 0), (3, 1, 1)], "z int, x int, y int")
+    assert sorted(map(tuple, P.any_data(px, catalog, 8).collect())) == [(3, 0, 0, True), (3, 1, 0, True), (3, 1, 1, False)]
+    files = T.encode(own, 0).withColumnRenamed("png", "content")
+    again = T.recompress(files.unionByName(spark.createDataFrame([(1, 0, 0, b"no png")], "z int, x int, y int, content binary"))).collect()
+    assert len(again) == 2 and all(r.bytes_after == len(r.png) <= r.bytes_before for r in again) and any(r.bytes_after < r.bytes_before for r in again)
+    assert sorted(map(tuple, T.decode(spark.createDataFrame([(r.z, r.x, r.y, r.png) for r in again], "z int, x int, y int, content binary")).collect())) == sorted(map(tuple, own.collect()))

@@ -1,14 +1,12 @@
 """Quality rules: counts of words, symbols and repetition, and a hashed n-gram log-likelihood ratio.
 
-Words are cut, counted and hashed by DataFrame functions.  A document's score is the mean, over its hashed word n-grams, of
+All DataFrame functions.  A document's score is the mean, over its hashed word n-grams, of
 log P(n-gram | trusted documents) - log P(n-gram | all documents), both multinomials over buckets whose number grows
 with the n-grams of the corpus, smoothed alike and counted over the whole corpus.  A document whose score is under a fixed threshold, or that
 fails the counts, is not kept; there is no sampling and no chance in it.
 
-Up to DENSE buckets, the n-grams are counted and looked up in dense arrays in Python workers, fed by Arrow batches: as
-rows, a table that grows with the corpus would send nearly every n-gram through two shuffles (more than four times the
-input, see the README), while compressed arrays of counts are a few bits a bucket.  Beyond, the table is rows and joins,
-all DataFrame functions; results are the same.
+Up to DENSE buckets, the ratios are dense arrays, one row for each PART buckets, which are broadcast: a look-up is a place in an array,
+and no n-gram is shuffled for it.  Beyond, n-grams and ratios are rows that are joined; results are the same.
 
 Odd cases: a null or empty text has no words, fails the counts and is not kept; a null doc_id is kept as null and is
 never trusted; without trusted documents (no labels, or none that match) every ratio is zero, and only the counts
@@ -18,12 +16,6 @@ by ``judge``, but columns named like its output are replaced.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +25,10 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: The fewest buckets, and the most n-grams of the corpus for each bucket: with more n-grams there are more buckets.
 BUCKETS, LOAD = 1 << 18, 32
-#: The most buckets that are dense arrays: 4 bytes each in a worker that looks ratios up, less when broadcast.  They travel in parts.
-DENSE, PART = 1 << 25, 1 << 18
+#: The most buckets whose ratios are broadcast as dense arrays (4 bytes a bucket, 128 MB), and how many an array holds.
+DENSE, PART = 1 << 25, 1 << 10
+#: The most trusted ids that are broadcast; more of them are joined by a shuffle.
+TRUSTED = 1 << 20
 #: The most buckets whose ratios are broadcast as rows; others are shuffled with the n-grams.
 BROADCAST = 1 << 18
 #: Mean log ratio under which a document is rejected.
@@ -59,12 +53,12 @@ def buckets_for(docs: DataFrame) -> int:
 def buckets_of(docs: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """The keys and the buckets of each word (one) and of its pair with the next word (two; the last word's pair is with the end).
 
-    Words are exploded before they are hashed, so all of it is generated code."""
+    ``buckets`` is a power of two.  Words are exploded before they are hashed, so all of it is generated code."""
     w = words(F.col("text"))
     rows = docs.select(*keys, w.alias("a")).withColumn("b", F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))))
     rows = rows.select(*keys, F.explode(F.arrays_zip("a", "b")).alias("x"))
-    one = F.pmod(F.xxhash64("x.a"), F.lit(buckets)).cast("int")
-    two = F.pmod(F.xxhash64("x.a", F.coalesce("x.b", F.lit(""))), F.lit(buckets)).cast("int")
+    one = F.xxhash64("x.a").bitwiseAND(F.lit(buckets - 1)).cast("int")
+    two = F.xxhash64("x.a", F.coalesce("x.b", F.lit(""))).bitwiseAND(F.lit(buckets - 1)).cast("int")
     return rows.select(*keys, one.alias("one"), two.alias("two"))
 
 
@@ -76,105 +70,36 @@ def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame
 def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do.  A ratio is in units of 1 / SCALE."""
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
-    # the trusted ids grow with the corpus, so they are never broadcast, at any size
-    rows = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
+    # the trusted ids grow with the corpus: beyond a size that is checked, texts are shuffled to meet them
+    good = F.broadcast(good) if good.limit(TRUSTED + 1).count() <= TRUSTED else good.hint("merge")
+    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
     counts = scope.keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
     total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
     share = total["good"] / max(total["raw"], 1)
     ratio = F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO))
-    out = scope.keep(counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw"), "ratios")
-    scope.drop(counts)
-    return out
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """int32 numbers with their bytes side by side, compressed: most numbers are small, so most bytes are equal."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
-
-
-def dense_counts(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int) -> DataFrame:
-    """(part, good, raw, n_good, n_raw): packed counts of the buckets of each part, and their sums."""
-    size = min(PART, buckets)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(buckets, np.int32)
-        for b in batches:
-            for c in ("one", "two"):
-                np.add.at(found, b.column(c).to_numpy(), 1)
-        parts = [i for i in range(buckets // size) if found[i * size : (i + 1) * size].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([_packed(found[i * size : (i + 1) * size]) for i in parts], pa.binary())], ["part", "counts"])
+    return counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw")
 
-    def total(group: pa.Table) -> pa.Table:
-        sums = {}
-        for kind in (False, True):
-            own = group.filter(pa.compute.equal(group.column("good"), kind)).column("counts").to_pylist()
-            sums[kind] = np.zeros(size, np.int64)
-            for x in own:
-                sums[kind] += _unpacked(x)
-        # counts beyond 2^31 in one bucket would need 2^36 n-grams in DENSE buckets of LOAD n-grams each
-        return pa.table({"part": group.column("part")[:1], "good": [_packed(sums[True])], "raw": [_packed(sums[False])], "n_good": [int(sums[True].sum())], "n_raw": [int(sums[False].sum())]})
 
-    def counted(rows: DataFrame, good: bool) -> DataFrame:
-        return buckets_of(rows, [], buckets).mapInArrow(count, "part int, counts binary").withColumn("good", F.lit(good))
+def dense_parts(table: DataFrame, scope: Scope) -> DataFrame:
+    """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in."""
+    at = F.struct((F.col("bucket") % PART).alias("slot"), F.col("ratio").cast("int").alias("ratio"))
+    parts = table.groupBy((F.col("bucket") / PART).cast("int").alias("part")).agg(F.sort_array(F.collect_list(at)).alias("found"))
+    before = lambda i: F.coalesce(F.get("found", i - 1)["slot"], F.lit(-1))
+    filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["slot"] - before(i) - 1), F.array(x["ratio"])))
+    return scope.keep(parts.select("part", F.flatten(filled).alias("ratios")), "parts")
 
-    ids = trusted.select("doc_id").dropna().distinct()
-    # the trusted ids grow with the corpus, so they are never broadcast, at any size
-    own = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
-    both = counted(docs.select("text"), False).unionByName(counted(own, True))
-    return scope.keep(both.groupBy("part").applyInArrow(total, "part int, good binary, raw binary, n_good long, n_raw long"), "counts")
 
-
-def dense_ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int) -> dict[int, bytes]:
-    """The packed ratios of each part that n-grams fall in: at most DENSE / PART parts of PART numbers."""
-    counts = dense_counts(docs, trusted, scope, buckets)
-    total = counts.agg(F.coalesce(F.sum("n_good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n_raw"), F.lit(0)).alias("raw")).first()
-    share, any_good = total["good"] / max(total["raw"], 1), total["good"] > 0
-
-    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for good, raw in zip(b.column("good").to_pylist(), b.column("raw").to_pylist()):
-                x = np.log((_unpacked(good) + PSEUDO) / (_unpacked(raw) * share + PSEUDO)) * SCALE
-                out.append(_packed(np.rint(x) if any_good else 0 * x))
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(out, pa.binary())], ["part", "ratios"])
-
-    rows = counts.select("part", "good", "raw").mapInArrow(ratio, "part int, ratios binary").collect()
-    scope.drop(counts)
-    return {r["part"]: bytes(r["ratios"]) for r in rows}
-
-
-def dense_scores(docs: DataFrame, ratios: dict[int, bytes], buckets: int) -> DataFrame:
+def dense_scores(docs: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
     """As ``scores``, by look-ups in the dense ratios."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    size = min(PART, buckets)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(buckets, np.int32)
-        for part, data in shared.value.items():
-            table[part * size : (part + 1) * size] = _unpacked(data)
-        for b in batches:
-            text = b.column("text_hash").to_numpy()
-            ids = b.column("doc_id")
-            new = np.ones(len(text), bool)
-            new[1:] = text[1:] != text[:-1]
-            # equal texts of different ids may follow each other
-            other = pa.compute.not_equal(ids[1:], ids[:-1]).fill_null(True)
-            new[1:] |= np.asarray(other)
-            at = np.flatnonzero(new)
-            where = pa.array(at)
-            own = table[b.column("one").to_numpy()].astype(np.int64) + table[b.column("two").to_numpy()]
-            total = np.add.reduceat(own, at) if len(at) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([ids.take(where), pa.array(text[at]), pa.array(total), pa.array(2 * np.diff(np.append(at, len(text))))], ["doc_id", "text_hash", "ratio", "n"])
-
     rows = buckets_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text_hash"], buckets)
-    each = rows.mapInArrow(look_up, f"doc_id {kind}, text_hash long, ratio long, n long").groupBy("doc_id", "text_hash").agg(F.sum("ratio").alias("ratio"), F.sum("n").alias("n"))
-    return each.select("doc_id", "text_hash", (F.col("ratio") / (F.col("n") * float(SCALE))).alias("score"))
+    shift = PART.bit_length() - 1
+    for c in ("one", "two"):
+        own = parts.select(F.col("part").alias(f"{c}_part"), F.col("ratios").alias(f"{c}_ratios"))
+        rows = rows.join(F.broadcast(own), F.shiftright(c, shift) == F.col(f"{c}_part"))
+    ratio = sum(F.get(f"{c}_ratios", F.col(c).bitwiseAND(PART - 1)).cast("long") for c in ("one", "two"))
+    each = rows.groupBy("doc_id", "text_hash").agg(F.sum(ratio).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    return each.select("doc_id", "text_hash", (F.col("ratio") / (2 * F.col("n") * float(SCALE))).alias("score"))
 
 
 def scores(docs: DataFrame, table: DataFrame, buckets: int = BUCKETS, broadcast: int = BROADCAST) -> DataFrame:
@@ -223,10 +148,8 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE,
     """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``buckets_for`` says how many."""
     buckets = buckets or buckets_for(docs)
     with Scope(docs.sparkSession) as scope:
-        if buckets <= dense:
-            each = dense_scores(docs, dense_ratios(docs, trusted, scope, buckets), buckets)
-        else:
-            each = scores(docs, ratios(docs, trusted, scope, buckets), buckets)
+        table = ratios(docs, trusted, scope, buckets)
+        each = dense_scores(docs, dense_parts(table, scope), buckets) if buckets <= dense else scores(docs, table, buckets)
         found = scope.leave(scope.keep(each.withColumnRenamed("doc_id", "_id"), "scores"))
     df = counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "w", "text_hash")).drop("w")
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

@@ -69,14 +69,17 @@ class Scope:
         self.tables = [x for x in self.tables if x[0] is not table]
         return table
 
+    def collect(self) -> None:
+        """Spark deletes the shuffle files of a plan once the driver's JVM has collected it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def __enter__(self) -> Scope:
         return self
 
     def __exit__(self, *_) -> None:
         self.drop(*[df for df, _ in self.tables])
-        # Spark deletes the shuffle files of a plan once the driver's JVM has collected it
-        gc.collect()
-        self.spark._jvm.System.gc()
+        self.collect()
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:

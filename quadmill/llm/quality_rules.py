@@ -27,6 +27,8 @@ WINDOW = 8
 BUCKETS, LOAD = 1 << 18, 32
 #: The most buckets whose ratios are broadcast as dense arrays (4 bytes a bucket, 128 MB), and how many an array holds.
 DENSE, PART = 1 << 25, 1 << 10
+#: N-grams are counted for one of so many shares of the buckets at a time: what is shuffled for one is gone before the next.
+PASSES = 2
 #: The most trusted ids that are broadcast; more of them are joined by a shuffle.
 TRUSTED = 1 << 20
 #: The most buckets whose ratios are broadcast as rows; others are shuffled with the n-grams.
@@ -73,7 +75,17 @@ def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUC
     # the trusted ids grow with the corpus: beyond a size that is checked, texts are shuffled to meet them
     good = F.broadcast(good) if good.limit(TRUSTED + 1).count() <= TRUSTED else good.hint("merge")
     rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
-    counts = scope.keep(grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")), "grams")
+    # in up to DENSE buckets are at most LOAD * DENSE = 2^30 n-grams: one sum holds both counts
+    packed = buckets <= DENSE
+    both = [F.sum(F.lit(1) + F.shiftleft("trusted", 32)).alias("n")] if packed else [F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")]
+    path = None
+    for i in range(PASSES):
+        own = grams(rows, ["trusted"], buckets).where(F.col("bucket") % PASSES == i)
+        path = scope.append(own.groupBy("bucket").agg(*both), path)
+        scope.collect()
+    counts = scope.table(path)
+    if packed:
+        counts = counts.select("bucket", F.shiftright("n", 32).alias("good"), F.col("n").bitwiseAND((1 << 32) - 1).alias("raw"))
     total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
     share = total["good"] / max(total["raw"], 1)
@@ -84,7 +96,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUC
 def dense_parts(table: DataFrame, scope: Scope) -> DataFrame:
     """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in."""
     at = F.struct((F.col("bucket") % PART).alias("slot"), F.col("ratio").cast("int").alias("ratio"))
-    parts = table.groupBy((F.col("bucket") / PART).cast("int").alias("part")).agg(F.sort_array(F.collect_list(at)).alias("found"))
+    rows = table.select((F.col("bucket") / PART).cast("int").alias("part"), at.alias("at")).repartition("part")
+    parts = rows.groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("found"))
     before = lambda i: F.coalesce(F.get("found", i - 1)["slot"], F.lit(-1))
     filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["slot"] - before(i) - 1), F.array(x["ratio"])))
     return scope.keep(parts.select("part", F.flatten(filled).alias("ratios")), "parts")
@@ -149,7 +162,12 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE,
     buckets = buckets or buckets_for(docs)
     with Scope(docs.sparkSession) as scope:
         table = ratios(docs, trusted, scope, buckets)
-        each = dense_scores(docs, dense_parts(table, scope), buckets) if buckets <= dense else scores(docs, table, buckets)
+        if buckets <= dense:
+            parts = dense_parts(table, scope)
+            scope.collect()
+            each = dense_scores(docs, parts, buckets)
+        else:
+            each = scores(docs, table, buckets)
         found = scope.leave(scope.keep(each.withColumnRenamed("doc_id", "_id"), "scores"))
     df = counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "w", "text_hash")).drop("w")
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

@@ -27,8 +27,8 @@ WINDOW = 8
 BUCKETS, LOAD = 1 << 18, 32
 #: The most buckets whose ratios are broadcast as dense arrays (4 bytes a bucket, 128 MB), and how many an array holds.
 DENSE, PART = 1 << 25, 1 << 10
-#: N-grams are counted for one of so many shares of the buckets at a time: what is shuffled for one is gone before the next.
-PASSES = 2
+#: Dense ratios are made for one of so many shares of the parts at a time: what is shuffled for one is gone before the next.
+PASSES = 8
 #: The most trusted ids that are broadcast; more of them are joined by a shuffle.
 TRUSTED = 1 << 20
 #: The most buckets whose ratios are broadcast as rows; others are shuffled with the n-grams.
@@ -69,38 +69,48 @@ def grams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame
     return buckets_of(docs, keys, buckets).select(*keys, F.explode(F.array("one", "two")).alias("bucket"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do.  A ratio is in units of 1 / SCALE."""
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The texts of docs, and 1 for those of trusted documents, 0 for the others."""
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
     # the trusted ids grow with the corpus: beyond a size that is checked, texts are shuffled to meet them
     good = F.broadcast(good) if good.limit(TRUSTED + 1).count() <= TRUSTED else good.hint("merge")
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
-    # in up to DENSE buckets are at most LOAD * DENSE = 2^30 n-grams: one sum holds both counts
-    packed = buckets <= DENSE
-    both = [F.sum(F.lit(1) + F.shiftleft("trusted", 32)).alias("n")] if packed else [F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw")]
-    path = None
-    for i in range(PASSES):
-        own = grams(rows, ["trusted"], buckets).where(F.col("bucket") % PASSES == i)
-        path = scope.append(own.groupBy("bucket").agg(*both), path)
-        scope.collect()
-    counts = scope.table(path)
-    if packed:
-        counts = counts.select("bucket", F.shiftright("n", 32).alias("good"), F.col("n").bitwiseAND((1 << 32) - 1).alias("raw"))
-    total = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
+    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
+
+
+def ratio_for(rows: DataFrame) -> Column:
+    """The ratio of a bucket with ``good`` and ``raw`` n-grams, in units of 1 / SCALE, given the texts of ``marked``."""
+    n = 2 * F.size(words(F.col("text"))).cast("long")
+    total = rows.agg(F.coalesce(F.sum(n * F.col("trusted")), F.lit(0)).alias("good"), F.coalesce(F.sum(n), F.lit(0)).alias("raw")).first()
+    if not total["good"]:
+        return F.lit(0).cast("long")
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
-    share = total["good"] / max(total["raw"], 1)
-    ratio = F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO))
-    return counts.select("bucket", (F.round(ratio * SCALE).cast("long") if total["good"] else F.lit(0).cast("long")).alias("ratio"), "raw")
+    share = total["good"] / total["raw"]
+    return F.round(F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO)) * SCALE).cast("long")
 
 
-def dense_parts(table: DataFrame, scope: Scope) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do."""
+    rows = marked(docs, trusted)
+    counts = grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw"))
+    return scope.keep(counts.select("bucket", ratio_for(rows).alias("ratio"), "raw"), "ratios")
+
+
+def dense_parts(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int) -> DataFrame:
     """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in."""
-    at = F.struct((F.col("bucket") % PART).alias("slot"), F.col("ratio").cast("int").alias("ratio"))
-    rows = table.select((F.col("bucket") / PART).cast("int").alias("part"), at.alias("at")).repartition("part")
-    parts = rows.groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("found"))
+    rows = marked(docs, trusted)
+    part, ratio, path = F.shiftright("bucket", PART.bit_length() - 1), ratio_for(rows).cast("int"), None
     before = lambda i: F.coalesce(F.get("found", i - 1)["slot"], F.lit(-1))
     filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["slot"] - before(i) - 1), F.array(x["ratio"])))
-    return scope.keep(parts.select("part", F.flatten(filled).alias("ratios")), "parts")
+    for i in range(PASSES):
+        own = grams(rows, ["trusted"], buckets).where(part % PASSES == i)
+        # DENSE buckets hold at most LOAD * DENSE = 2^30 n-grams, so one sum holds both counts
+        own = own.groupBy("bucket").agg(F.sum(F.lit(1) + F.shiftleft("trusted", 32)).alias("n"))
+        own = own.select("bucket", F.shiftright("n", 32).alias("good"), F.col("n").bitwiseAND((1 << 32) - 1).alias("raw"))
+        own = own.select(part.alias("part"), F.struct((F.col("bucket") % PART).alias("slot"), ratio.alias("ratio")).alias("at"))
+        own = own.repartition("part").groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("found"))
+        path = scope.append(own.select("part", F.flatten(filled).alias("ratios")), path)
+        scope.collect()
+    return scope.table(path)
 
 
 def dense_scores(docs: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
@@ -161,13 +171,10 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE,
     """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``buckets_for`` says how many."""
     buckets = buckets or buckets_for(docs)
     with Scope(docs.sparkSession) as scope:
-        table = ratios(docs, trusted, scope, buckets)
         if buckets <= dense:
-            parts = dense_parts(table, scope)
-            scope.collect()
-            each = dense_scores(docs, parts, buckets)
+            each = dense_scores(docs, dense_parts(docs, trusted, scope, buckets), buckets)
         else:
-            each = scores(docs, table, buckets)
+            each = scores(docs, ratios(docs, trusted, scope, buckets), buckets)
         found = scope.leave(scope.keep(each.withColumnRenamed("doc_id", "_id"), "scores"))
     df = counts(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "w", "text_hash")).drop("w")
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))

@@ -16,6 +16,8 @@ by ``judge``, but columns named like its output are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ WINDOW = 8
 BUCKETS, LOAD = 1 << 18, 32
 #: The most buckets whose ratios are broadcast as dense arrays (4 bytes a bucket, 128 MB), and how many an array holds.
 DENSE, PART = 1 << 25, 1 << 10
-#: Dense ratios are made for one of so many shares of the parts at a time: what is shuffled for one is gone before the next.
+#: Dense counts are made of one of so many shares of the documents at a time: what is shuffled for one is gone before the next.
 PASSES = 8
 #: The most trusted ids that are broadcast; more of them are joined by a shuffle.
 TRUSTED = 1 << 20
@@ -74,43 +76,50 @@ def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     good = trusted.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(1))
     # the trusted ids grow with the corpus: beyond a size that is checked, texts are shuffled to meet them
     good = F.broadcast(good) if good.limit(TRUSTED + 1).count() <= TRUSTED else good.hint("merge")
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).cast("long").alias("trusted"))
+    return docs.select("doc_id", "text").join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)).cast("long"))
 
 
-def ratio_for(rows: DataFrame) -> Column:
-    """The ratio of a bucket with ``good`` and ``raw`` n-grams, in units of 1 / SCALE, given the texts of ``marked``."""
+def ratio_for(rows: DataFrame) -> Callable[[Column, Column], Column]:
+    """The ratio of a bucket, given its trusted and all n-grams, in units of 1 / SCALE, for the rows of ``marked``."""
     n = 2 * F.size(words(F.col("text"))).cast("long")
     total = rows.agg(F.coalesce(F.sum(n * F.col("trusted")), F.lit(0)).alias("good"), F.coalesce(F.sum(n), F.lit(0)).alias("raw")).first()
     if not total["good"]:
-        return F.lit(0).cast("long")
+        return lambda good, raw: F.lit(0).cast("long")
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
     share = total["good"] / total["raw"]
-    return F.round(F.log((F.col("good") + PSEUDO) / (F.col("raw") * share + PSEUDO)) * SCALE).cast("long")
+    return lambda good, raw: F.round(F.log((good + PSEUDO) / (raw * share + PSEUDO)) * SCALE).cast("long")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do."""
     rows = marked(docs, trusted)
     counts = grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw"))
-    return scope.keep(counts.select("bucket", ratio_for(rows).alias("ratio"), "raw"), "ratios")
+    return scope.keep(counts.select("bucket", ratio_for(rows)(F.col("good"), F.col("raw")).alias("ratio"), "raw"), "ratios")
 
 
 def dense_parts(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int) -> DataFrame:
-    """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in."""
+    """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in.
+
+    Each share of the documents is counted into arrays of its own, whose sums over the shares are the counts of the corpus."""
     rows = marked(docs, trusted)
-    part, ratio, path = F.shiftright("bucket", PART.bit_length() - 1), ratio_for(rows).cast("int"), None
+    part, ratio, path = F.shiftright("bucket", PART.bit_length() - 1), ratio_for(rows), None
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES))
     before = lambda i: F.coalesce(F.get("found", i - 1)["slot"], F.lit(-1))
-    filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0), x["slot"] - before(i) - 1), F.array(x["ratio"])))
+    filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("long"), x["slot"] - before(i) - 1), F.array(x["n"])))
     for i in range(PASSES):
-        own = grams(rows, ["trusted"], buckets).where(part % PASSES == i)
+        own = grams(rows.where(share == i), ["trusted"], buckets)
         # DENSE buckets hold at most LOAD * DENSE = 2^30 n-grams, so one sum holds both counts
         own = own.groupBy("bucket").agg(F.sum(F.lit(1) + F.shiftleft("trusted", 32)).alias("n"))
-        own = own.select("bucket", F.shiftright("n", 32).alias("good"), F.col("n").bitwiseAND((1 << 32) - 1).alias("raw"))
-        own = own.select(part.alias("part"), F.struct((F.col("bucket") % PART).alias("slot"), ratio.alias("ratio")).alias("at"))
+        own = own.select(part.alias("part"), F.struct((F.col("bucket") % PART).alias("slot"), "n").alias("at"))
         own = own.repartition("part").groupBy("part").agg(F.sort_array(F.collect_list("at")).alias("found"))
-        path = scope.append(own.select("part", F.flatten(filled).alias("ratios")), path)
+        path = scope.append(own.select("part", F.flatten(filled).alias("n")), path)
         scope.collect()
-    return scope.table(path)
+    none = F.array().cast("array<bigint>")
+    add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    total = F.aggregate(F.collect_list("n"), none, lambda s, x: F.zip_with(s, x, add))
+    both = scope.table(path).groupBy("part").agg(total.alias("n"))
+    ratios = F.transform("n", lambda n: ratio(F.shiftright(n, 32), n.bitwiseAND((1 << 32) - 1)).cast("int"))
+    return scope.keep(both.select("part", ratios.alias("ratios")), "ratios")
 
 
 def dense_scores(docs: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:

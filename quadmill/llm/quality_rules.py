@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from quadmill.llm.shared import Scope
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Words of a repeated window, a power of two.
 WINDOW = 8
 #: The fewest buckets, and the most n-grams of the corpus for each bucket: with more n-grams there are more buckets.
 BUCKETS, LOAD = 1 << 18, 32
 #: The most buckets whose ratios are broadcast as dense arrays (4 bytes a bucket, 128 MB), and how many an array holds.
 DENSE, PART = 1 << 25, 1 << 10
 #: Dense counts are made of one of so many shares of the documents at a time: what is shuffled for one is gone before the next.
-PASSES = 8
+PASSES = 3
 #: The most trusted ids that are broadcast; more of them are joined by a shuffle.
 TRUSTED = 1 << 20
 #: The most buckets whose ratios are broadcast as rows; others are shuffled with the n-grams.
@@ -48,9 +49,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def n_grams(text: Column) -> Column:
+    """How many n-grams (words and pairs, the last word's with the end) a text has."""
+    return 2 * F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def buckets_for(docs: DataFrame) -> int:
     """The least power of two that is at least BUCKETS and leaves at most LOAD n-grams a bucket (2^30 at most, as buckets are ints)."""
-    n = docs.agg(F.sum(2 * F.size(words(F.col("text"))).cast("long"))).first()[0] or 0
+    n = docs.agg(F.sum(n_grams(F.col("text")))).first()[0] or 0
     return min(max(BUCKETS, 1 << max(-(-n // LOAD) - 1, 0).bit_length()), 1 << 30)
 
 
@@ -81,7 +87,7 @@ def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def ratio_for(rows: DataFrame) -> Callable[[Column, Column], Column]:
     """The ratio of a bucket, given its trusted and all n-grams, in units of 1 / SCALE, for the rows of ``marked``."""
-    n = 2 * F.size(words(F.col("text"))).cast("long")
+    n = n_grams(F.col("text"))
     total = rows.agg(F.coalesce(F.sum(n * F.col("trusted")), F.lit(0)).alias("good"), F.coalesce(F.sum(n), F.lit(0)).alias("raw")).first()
     if not total["good"]:
         return lambda good, raw: F.lit(0).cast("long")
@@ -159,8 +165,12 @@ def counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    starts = F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1))
-    df = df.withColumn("_h", F.when(F.col("n_words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, WINDOW)))))
+    # a hash for each window of 2, then 4, then 8 words, of the two halves' hashes; those that reach past the end are cut
+    df, reach = df.withColumn("_h", F.col("w")), 1
+    while reach < WINDOW:
+        later = F.slice("_h", reach + 1, F.greatest(F.size("_h") - reach, F.lit(0)))
+        df, reach = df.withColumn("_h", F.zip_with("_h", later, lambda a, b: F.xxhash64(a, b))), 2 * reach
+    df = df.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_h") - (WINDOW - 1), F.lit(0))))
     # few texts repeat a window; only theirs are sorted
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     df = df.withColumn("_p", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))

@@ -54,12 +54,16 @@ def n_grams(text: Column) -> Column:
     return 2 * F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """The least power of two that is at least BUCKETS and leaves at most LOAD n-grams a bucket (2^30 at most, as buckets are ints)."""
-    n = docs.agg(F.sum(n_grams(F.col("text")))).first()[0] or 0
+def least_buckets(n: int) -> int:
+    """The least power of two that is at least BUCKETS and leaves at most LOAD of n n-grams a bucket (2^30 at most, as buckets are ints)."""
     return min(max(BUCKETS, 1 << max(-(-n // LOAD) - 1, 0).bit_length()), 1 << 30)
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """``least_buckets`` for the n-grams of docs."""
+    return least_buckets(docs.agg(F.sum(n_grams(F.col("text")))).first()[0] or 0)
+
+
 def buckets_of(docs: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """The keys and the buckets of each word (one) and of its pair with the next word (two; the last word's pair is with the end).
 
@@ -85,14 +89,19 @@ def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)).cast("long"))
 
 
-def ratio_for(rows: DataFrame) -> Callable[[Column, Column], Column]:
-    """The ratio of a bucket, given its trusted and all n-grams, in units of 1 / SCALE, for the rows of ``marked``."""
+def totals(rows: DataFrame) -> tuple[int, int]:
+    """The n-grams of trusted documents and of all, given the rows of ``marked``."""
     n = n_grams(F.col("text"))
-    total = rows.agg(F.coalesce(F.sum(n * F.col("trusted")), F.lit(0)).alias("good"), F.coalesce(F.sum(n), F.lit(0)).alias("raw")).first()
-    if not total["good"]:
+    found = rows.agg(F.sum(n * F.col("trusted")).alias("good"), F.sum(n).alias("raw")).first()
+    return found["good"] or 0, found["raw"] or 0
+
+
+def ratio_for(total: tuple[int, int]) -> Callable[[Column, Column], Column]:
+    """The ratio of a bucket, given its trusted and all n-grams, in units of 1 / SCALE, for these ``totals``."""
+    if not total[0]:
         return lambda good, raw: F.lit(0).cast("long")
     # both multinomials get PSEUDO trusted counts in each bucket: what was seen a few times says little either way
-    share = total["good"] / total["raw"]
+    share = total[0] / total[1]
     return lambda good, raw: F.round(F.log((good + PSEUDO) / (raw * share + PSEUDO)) * SCALE).cast("long")
 
 
@@ -100,15 +109,15 @@ def ratios(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int = BUC
     """(bucket, ratio, raw) for every bucket that an n-gram falls in, raw being how many do."""
     rows = marked(docs, trusted)
     counts = grams(rows, ["trusted"], buckets).groupBy("bucket").agg(F.sum("trusted").alias("good"), F.count(F.lit(1)).alias("raw"))
-    return scope.keep(counts.select("bucket", ratio_for(rows)(F.col("good"), F.col("raw")).alias("ratio"), "raw"), "ratios")
+    return scope.keep(counts.select("bucket", ratio_for(totals(rows))(F.col("good"), F.col("raw")).alias("ratio"), "raw"), "ratios")
 
 
-def dense_parts(docs: DataFrame, trusted: DataFrame, scope: Scope, buckets: int) -> DataFrame:
-    """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in.
+def dense_parts(rows: DataFrame, total: tuple[int, int], scope: Scope, buckets: int) -> DataFrame:
+    """(part, ratios): the ratios of buckets part * PART, part * PART + 1 and so on, up to the last one that an n-gram falls in,
+    given the rows of ``marked`` and their ``totals``.
 
     Each share of the documents is counted into arrays of its own, whose sums over the shares are the counts of the corpus."""
-    rows = marked(docs, trusted)
-    part, ratio, path = F.shiftright("bucket", PART.bit_length() - 1), ratio_for(rows), None
+    part, ratio, path = F.shiftright("bucket", PART.bit_length() - 1), ratio_for(total), None
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES))
     before = lambda i: F.coalesce(F.get("found", i - 1)["slot"], F.lit(-1))
     filled = F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("long"), x["slot"] - before(i) - 1), F.array(x["n"])))
@@ -157,6 +166,12 @@ def scores(docs: DataFrame, table: DataFrame, buckets: int = BUCKETS, broadcast:
     return each.select("doc_id", "text_hash", (F.col("ratio") / (F.col("n") * float(SCALE))).alias("score"))
 
 
+def windows(half: Column, reach: int) -> Column:
+    """Hashes of all runs of 2 * reach words, given those of all runs of reach words."""
+    n = F.greatest(F.size(half) - reach, F.lit(0))
+    return F.zip_with(F.slice(half, 1, n), F.slice(half, reach + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """docs with w (words), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -165,13 +180,13 @@ def counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    # a hash for each window of 2, then 4, then 8 words, of the two halves' hashes; those that reach past the end are cut
-    df, reach = df.withColumn("_h", F.col("w")), 1
-    while reach < WINDOW:
-        later = F.slice("_h", reach + 1, F.greatest(F.size("_h") - reach, F.lit(0)))
-        df, reach = df.withColumn("_h", F.zip_with("_h", later, lambda a, b: F.xxhash64(a, b))), 2 * reach
-    df = df.withColumn("_h", F.slice("_h", 1, F.greatest(F.size("_h") - (WINDOW - 1), F.lit(0))))
-    # few texts repeat a window; only theirs are sorted
+    # hashes of windows of 2, then 4, then 8 words are of the two halves' hashes; those that reach past the end are cut
+    df, reach = df.withColumn("_q", F.col("w")), 1
+    while 2 * reach < WINDOW:
+        df, reach = df.withColumn("_q", windows(F.col("_q"), reach)), 2 * reach
+    # a window that comes again has reach + 1 half windows that do: few texts have so many, and only theirs are hashed further and sorted
+    again = F.size("_q") - F.size(F.array_distinct("_q")) > reach
+    df = df.withColumn("_h", F.when(again, windows(F.col("_q"), reach)))
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     df = df.withColumn("_p", F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     p = F.col("_p")
@@ -183,15 +198,17 @@ def counts(docs: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s["n"] + i + WINDOW - F.greatest(i, s["end"])).alias("n"), (i + WINDOW).alias("end")),
         lambda s: s["n"],
     )
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_h", "_p")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_q", "_h", "_p")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE, buckets: int | None = None, dense: int = DENSE) -> DataFrame:
-    """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``buckets_for`` says how many."""
-    buckets = buckets or buckets_for(docs)
+    """docs with the counts, base_failed, score (the mean log ratio; 0 without words) and kept.  Without ``buckets``, ``least_buckets`` says how many."""
+    rows = marked(docs, trusted)
+    total = totals(rows)
+    buckets = buckets or least_buckets(total[1])
     with Scope(docs.sparkSession) as scope:
         if buckets <= dense:
-            each = dense_scores(docs, dense_parts(docs, trusted, scope, buckets), buckets)
+            each = dense_scores(docs, dense_parts(rows, total, scope, buckets), buckets)
         else:
             each = scores(docs, ratios(docs, trusted, scope, buckets), buckets)
         found = scope.leave(scope.keep(each.withColumnRenamed("doc_id", "_id"), "scores"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quadmill.llm import shingles as S
 from quadmill.llm import words as W
 from quadmill.llm.components import components
-from quadmill.llm.routing import BUCKET_ROWS, shared_keys
+from quadmill.llm.routing import BUCKET_ROWS, SLICE_BYTES, shared_keys
 from quadmill.llm.shared import Scope
 
 #: Members of a group that are compared with each other in one task; a larger group is dealt over pairs of blocks.
@@ -48,7 +48,7 @@ def summaries(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     many signatures it disregards)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in W.slices(batches):
+        for s in W.slices(batches, limit=SLICE_BYTES):
             sets, at = S.doc_sets(s.column("text"), shingle)
             n = np.diff(at)
             bits = [S.bitmap(sets[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -303,7 +303,7 @@ class Join:
         shingle, clashing = self.shingle, self.clashing
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for s in W.slices(batches):
+            for s in W.slices(batches, limit=SLICE_BYTES):
                 sets, at = S.doc_sets(s.column("text"), shingle)
                 ids = identities(sets, at, clashing).view(np.int64)
                 blobs = [sets[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

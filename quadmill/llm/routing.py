@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from quadmill.llm import words as W
 
-#: Rows that a map task holds before it packs and sends them.
-FLUSH = 1 << 20
+#: Rows that a map task holds before it packs and sends them; packing takes some hundred bytes a row.
+FLUSH = 1 << 18
+#: Bytes of text of which signatures are made at a time, as several numbers for each word are.
+SLICE_BYTES = 1 << 20
 #: Rows that a bucket is planned to receive.
 BUCKET_ROWS = 1 << 19
 
@@ -46,29 +48,34 @@ def repeated(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, values, begins, shared
 
 
+def packets(batches: Iterator[pa.RecordBatch], emit: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What one map task sends: (bucket, first, known), the (key, value) rows that ``emit`` makes of the batches, packed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def pack() -> pa.RecordBatch:
+        keys, values, begins, shared = repeated(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
+        held.clear()
+        rows = np.stack((keys, values), 1)
+        to, blobs = _packed((keys % np.uint64(buckets)).astype(np.int64)[begins], rows[begins])
+        known, others = _packed((W.mix64(keys + values) % np.uint64(buckets)).astype(np.int64)[shared], rows[shared])
+        none = [None] * len(blobs), [None] * len(others)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((to, known)).astype(np.int64)), pa.array([*blobs, *none[1]], pa.binary()), pa.array([*none[0], *others], pa.binary())], ["bucket", "first", "known"]
+        )
+
+    for s in W.slices(batches, limit=SLICE_BYTES):
+        held.append(emit(s))
+        if sum(len(k) for k, _ in held) >= FLUSH:
+            yield pack()
+    if held:
+        yield pack()
+
+
 def shared_keys(docs: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
     """The distinct (key, value) rows whose key has two values or more, of all that ``emit`` makes of the documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def pack() -> pa.RecordBatch:
-            keys, values, begins, shared = repeated(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
-            held.clear()
-            rows = np.stack((keys, values), 1)
-            to, blobs = _packed((keys % np.uint64(buckets)).astype(np.int64)[begins], rows[begins])
-            known, others = _packed((W.mix64(keys + values) % np.uint64(buckets)).astype(np.int64)[shared], rows[shared])
-            none = [None] * len(blobs), [None] * len(others)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((to, known)).astype(np.int64)), pa.array([*blobs, *none[1]], pa.binary()), pa.array([*none[0], *others], pa.binary())], ["bucket", "first", "known"]
-            )
-
-        for s in W.slices(batches):
-            held.append(emit(s))
-            if sum(len(k) for k, _ in held) >= FLUSH:
-                yield pack()
-        if held:
-            yield pack()
+        return packets(batches, emit, buckets)
 
     def meet(group: pa.Table) -> pa.Table:
         first = np.frombuffer(b"".join(x for x in group.column("first").to_pylist() if x), np.uint64).reshape(-1, 2)

@@ -99,7 +99,8 @@ def dedup(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     text_id, places, all_lines, held = (mark + c for c in ("text_id", "gone", "lines", "held"))
     gone = gone.select(F.col("doc_id").alias(mark + "id"), F.col("text_id").alias(mark + "of"), F.col("gone").alias(places))
     df = df.withColumn(text_id, F.xxhash64("text"))
-    df = df.join(gone, (F.col("doc_id") == F.col(mark + "id")) & (F.col(text_id) == F.col(mark + "of")), "left")
+    # places grow with the corpus: the same join for any size, so what a small input shuffles tells of a large one
+    df = df.join(gone.hint("merge"), (F.col("doc_id") == F.col(mark + "id")) & (F.col(text_id) == F.col(mark + "of")), "left")
     df = df.withColumn(all_lines, F.split("text", "\n")).withColumn(held, F.transform(all_lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     with_words = F.filter(F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: F.get(held, i))
     df = df.withColumn(held, F.when(F.col("text").isNotNull(), with_words))
